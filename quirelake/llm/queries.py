@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quirelake.llm import packing, planes, sharding
+from quirelake.llm import packing, planes, quality, sharding
 
 QUERIES = {
+    "op8_compression_bands": quality.op8_compression_bands,
     "op6_plane_shuffled_ids": planes.op6_plane_shuffled_ids,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op10_bounded_ring_sharding": sharding.op10_bounded_ring_sharding,
