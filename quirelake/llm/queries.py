@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quirelake.llm import packing, planes, quality, sharding, toxicity
+from quirelake.llm import decontaminate, packing, planes, quality, sharding, toxicity
 
 QUERIES = {
+    "op9_positional_index": decontaminate.op9_positional_index,
     "op1_noisy_or_toxicity": toxicity.op1_noisy_or_toxicity,
     "op8_compression_bands": quality.op8_compression_bands,
     "op6_plane_shuffled_ids": planes.op6_plane_shuffled_ids,

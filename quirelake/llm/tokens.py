@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Chunks that each of the two generations of a worker's cache may hold.
-CACHE = 400_000
+CACHE = 700_000
 #: Characters of text whose chunks are looked up together.
 BLOCK = 1_000_000
 #: A chunk that carries the white space before it. U+001C to U+001F are white space to Python, not to the tokenizers.
