@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quirelake.llm.common import id_and_text
 
 #: Labelled documents that a fit reads at most.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Hash space of words.
 BUCKETS = 1 << 20
 #: Sentences end at these; other ASCII marks and digits separate words.
@@ -81,46 +81,54 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def select_words(docs: list[np.ndarray], toxic: np.ndarray, least_docs: int = 4, z: float = 4.0, most: int = 4000) -> np.ndarray:
+def select_features(docs: list[np.ndarray], toxic: np.ndarray, least_docs: int = 4, z: float = 4.0, most: int = 4000) -> np.ndarray:
     """Features whose documents are toxic far more or less often than others."""
-    ids, parts = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    pairs = np.unique(ids.astype(np.int64) * len(docs) + parts)
-    words, owner = pairs // len(docs), pairs % len(docs)
-    seen = np.bincount(words, minlength=BUCKETS)
-    hits = np.bincount(words, weights=toxic[owner], minlength=BUCKETS)
+    seen, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for own, y in zip(docs, toxic.tolist(), strict=True):
+        once = np.unique(own)
+        seen[once] += 1
+        if y:
+            hits[once] += 1
     rate = toxic.mean()
     score = (hits - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
     found = np.flatnonzero((seen >= least_docs) & (np.abs(score) >= z))
-    return found[np.argsort(-np.abs(score[found]), kind="stable")][:most]
+    return np.sort(found[np.argsort(-np.abs(score[found]), kind="stable")][:most])
 
 
-def fit(bags: list[list[np.ndarray]], toxic: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 0.02) -> Model:
-    """Adam on the noisy-or likelihood of document labels. bags: features of each sentence of each document."""
-    kept = [(b, y) for b, y in zip(bags, toxic.tolist(), strict=True) if b]
-    y = np.array([k[1] for k in kept], dtype=float)
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 0.02) -> Model:
+    """Adam on the noisy-or likelihood of document labels.
+
+    bags: for each document its features, sentence by sentence, and how many each sentence has.
+    """
+    kept = [(f, n, y) for (f, n), y in zip(bags, toxic.tolist(), strict=True) if len(n)]
+    y = np.array([k[2] for k in kept], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model({}, -40.0)
-    docs = [np.concatenate(b) for b, _ in kept]
-    words = np.sort(select_words(docs, y))
-    lengths = np.array([len(s) for b, _ in kept for s in b])
-    flat = np.concatenate(docs)
-    at = np.searchsorted(words, flat) if len(words) else np.zeros(len(flat), dtype=np.int64)
-    hit = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == flat) if len(words) else np.zeros(len(flat), dtype=bool)
-    column, row = at[hit], np.repeat(np.arange(len(lengths)), lengths)[hit]
-    first = np.cumsum([0, *(len(b) for b, _ in kept)])[:-1]
-    owner = np.repeat(np.arange(len(kept)), [len(b) for b, _ in kept])
-    theta = np.zeros(len(words) + 1)
-    theta[-1] = np.log(max(y.mean(), 1e-4) * len(y) / len(lengths))
+    chosen = select_features([k[0] for k in kept], y)
+    column_of = np.full(BUCKETS, -1, dtype=np.int32)
+    column_of[chosen] = np.arange(len(chosen))
+    sizes = np.array([len(n) for _, n, _ in kept])
+    first = np.cumsum(sizes) - sizes
+    columns, rows = [], []
+    for (own, lengths, _), at in zip(kept, first.tolist(), strict=True):
+        column = column_of[own]
+        hit = column >= 0
+        columns.append(column[hit])
+        rows.append(np.repeat(np.arange(at, at + len(lengths)), lengths)[hit])
+    column, row, n = np.concatenate(columns), np.concatenate(rows), int(sizes.sum())
+    owner = np.repeat(np.arange(len(kept)), sizes)
+    theta = np.zeros(len(chosen) + 1)
+    theta[-1] = np.log(max(y.mean(), 1e-4) * len(y) / n)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(row, weights=theta[column], minlength=len(lengths))
+        z = theta[-1] + np.bincount(row, weights=theta[column], minlength=n)
         total = np.maximum(np.add.reduceat(softplus(z), first), 1e-9)
         slope = np.where(y > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)
         g = slope[owner] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(column, weights=g[row], minlength=len(words)) + penalty * theta[:-1], g.sum())
+        grad = np.append(np.bincount(column, weights=g[row], minlength=len(chosen)) + penalty * theta[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model({int(w): float(x) for w, x in zip(words, theta[:-1], strict=True) if x}, float(theta[-1]))
+    return Model({int(w): float(x) for w, x in zip(chosen, theta[:-1], strict=True) if x}, float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
@@ -140,12 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["doc_id", "toxic", "lengths", "words"])
 
     table = joined.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, lengths binary, words binary").toArrow()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "words", "lengths", "toxic")), strict=True))  # the same order whatever the partitions
-    bags = []
-    for _, words, lengths, _ in rows:
-        ends = np.cumsum(np.frombuffer(lengths, "<u4"))
-        bags.append(np.split(np.frombuffer(words, "<u4"), ends[:-1]) if len(ends) else [])
-    return fit(bags, np.array([r[3] for r in rows], dtype=float))
+    ids, words, lengths, toxic = table.column("doc_id").to_pylist(), table.column("words"), table.column("lengths"), table.column("toxic").to_pylist()
+    order = sorted(range(table.num_rows), key=lambda k: (ids[k], len(words[k].as_buffer()), toxic[k]))  # the same whatever the partitions
+    bags = [(np.frombuffer(words[k].as_buffer(), "<u4"), np.frombuffer(lengths[k].as_buffer(), "<u4")) for k in order]
+    return fit(bags, np.array([toxic[k] for k in order], dtype=float))
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
