@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quirelake.llm import decontaminate, packing, planes, quality, sharding, toxicity
+from quirelake.llm import decontaminate, packing, planes, quality, sharding, substrings, superkmers, toxicity
 
 QUERIES = {
+    "op3_column_wise_suffix_dedup": substrings.op3_column_wise_suffix_dedup,
+    "op7_super_kmer_dedup": superkmers.op7_super_kmer_dedup,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op1_noisy_or_toxicity": toxicity.op1_noisy_or_toxicity,
     "op8_compression_bands": quality.op8_compression_bands,
