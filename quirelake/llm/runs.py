@@ -292,7 +292,7 @@ def marked_spans(keys: np.ndarray, starts: np.ndarray, window: int) -> pa.Record
     fresh = np.ones(len(keys), dtype=bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + window)
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(keys)) - 1
+    last = np.append(first[1:], len(keys))[: len(first)] - 1
     return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(starts[first].astype(np.int32)), pa.array((starts[last] + window).astype(np.int32))], ["row_key", "start", "stop"])
 
 
