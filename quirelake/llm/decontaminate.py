@@ -25,6 +25,8 @@ from quirelake.llm.common import materialize
 WIDTH = 10
 #: Windows (and so rarest terms) looked up by one pass over the postings.
 BLOCK = 50_000
+#: Benchmark terms up to which the vocabulary is broadcast for counting.
+MOST_TERMS = 200_000
 #: ASCII characters that separate words; upper case is folded for A to Z alone.
 _APART = "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or chr(c).isalpha()))
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,7 +47,12 @@ def windows(benchmark: DataFrame, width: int) -> DataFrame:
 
 def term_counts(keyed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Occurrences in the corpus of the benchmark's terms, 0 included."""
-    found = keyed.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    tokens = keyed.select(F.explode(words(F.col("text"))).alias("term"))
+    # A vocabulary of checked size goes to the tokens; a larger one meets counts that were summed before they were dealt out.
+    if vocabulary.count() <= MOST_TERMS:
+        found = tokens.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        found = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term", "left_semi")
     return vocabulary.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -66,7 +73,7 @@ def matches(keyed: DataFrame, benchmark: DataFrame, width: int = WIDTH, near_sha
     listed = windows(benchmark, width).withColumn("window_id", F.xxhash64("terms"))
     items = materialize(listed.select("window_id", "terms", "item_id"), "window-items")
     distinct = items.groupBy("window_id").agg(F.first("terms").alias("terms"))
-    vocabulary = distinct.select(F.explode("terms").alias("term")).distinct()
+    vocabulary = materialize(distinct.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     counts = materialize(term_counts(keyed, vocabulary), "term-counts")
     ready = materialize(anchored(distinct, counts).where(F.col("anchor").isNotNull()), "windows")
     blocks = -(-ready.count() // block)
