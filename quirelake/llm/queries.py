@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quirelake.llm import decontaminate, packing, planes, quality, sharding, substrings, superkmers, toxicity
+from quirelake.llm import decontaminate, jaccard, packing, planes, quality, sharding, substrings, superkmers, toxicity
 
 QUERIES = {
+    "op2_signature_tree_join": jaccard.op2_signature_tree_join,
     "op3_column_wise_suffix_dedup": substrings.op3_column_wise_suffix_dedup,
     "op7_super_kmer_dedup": superkmers.op7_super_kmer_dedup,
     "op9_positional_index": decontaminate.op9_positional_index,
