@@ -62,3 +62,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns an operator works on, whatever else the table carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns inside one column ``row``, so that none can clash; doc_id and text beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quirelake.llm import decontaminate, jaccard, packing, planes, quality, sharding, substrings, superkmers, toxicity
+import corpus_pipeline
+from quirelake.llm import decontaminate, jaccard, lines, packing, planes, quality, sharding, substrings, superkmers, toxicity
 
 QUERIES = {
+    "op5_suffix_array_line_dedup": lines.op5_suffix_array_line_dedup,
+    "pipeline": corpus_pipeline.run,
     "op2_signature_tree_join": jaccard.op2_signature_tree_join,
     "op3_column_wise_suffix_dedup": substrings.op3_column_wise_suffix_dedup,
     "op7_super_kmer_dedup": superkmers.op7_super_kmer_dedup,

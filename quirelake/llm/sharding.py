@@ -79,6 +79,9 @@ def bounded_ring(docs: DataFrame, key: Column, shards: int = 8, epsilon: float =
     ``epsilon`` is the slack of the bounded load: a shard holds at most (1 + epsilon) times the
     mean; 0 makes the counts at most one apart. The counting pass reads the key column alone.
     """
+    taken = {"home_shard", "shard", "slot", "ring_spot", "ring_cell", "ring_rank", "rank_from", "rank_to", "first_slot"}.intersection(c.lower() for c in docs.columns)
+    if taken:
+        raise ValueError(f"rename these columns first: {sorted(taken)}")
     spark = docs.sparkSession
     spot = F.xxhash64(key)
     cell = F.pmod(spot, F.lit(cells)).cast("int")

@@ -183,6 +183,21 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, fields)
 
 
+def keep_below(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose score is below ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, float] = {}
+        for batch in batches:
+            kept = []
+            for text in batch.column("text").to_pylist():
+                lists = sentences(text or "")
+                kept.append(not lists or float(-np.expm1(-softplus(model.logits(lists, cache)).sum())) < least)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """The remainder of the id's checksum by which rows are held out (0) or learnt from."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
