@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -44,14 +45,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _remove(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    This cuts lineage durably: a lost executor costs only its running tasks.
+    This cuts lineage durably: a lost executor costs only its running tasks. ``free`` has the
+    driver collect its garbage, so that Spark removes the shuffle files that led here.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

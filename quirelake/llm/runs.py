@@ -5,9 +5,11 @@ words), whether the same window starts earlier. A window's minimiser, the least
 k-grams, depends on the window alone, so equal windows have equal minimisers. Consecutive windows
 with one minimiser form a run. The steps:
 
-1. ``run_rows``: one short row per run (minimiser, hash of the run's symbols, place).
-2. ``split_runs``: a run whose whole string has an earlier copy needs no further look; of the
-   rest only those matter whose minimiser has different strings.
+1. ``run_rows``: one short row per run (minimiser, hash of the run's symbols, place). A run whose
+   string was met before in the same block of texts is settled at once and dealt anywhere.
+2. ``settle``: rows are dealt by minimiser once and stream past in order. A run whose whole
+   string has an earlier copy is settled; of the rest only those stay open whose minimiser has
+   different strings. Up to ``HOT`` rows are held, however many a minimiser has.
 3. ``fetch_strings``: the strings of those runs, taken from the texts.
 4. the operator compares the windows of strings that share a minimiser, its own way; minimisers
    with more than ``HOT`` strings are compared window by window with ``compare_hot`` instead, so no
@@ -167,39 +169,130 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return ready.withColumns({"row_key": F.xxhash64("doc_id", "text"), "doc": F.coalesce("doc_id", F.lit(-(2**63)))})
 
 
-def run_rows(keyed: DataFrame, shape: Shape) -> DataFrame:
+def later_than(doc, start, first_doc, first_start, same_document: bool):
+    """Whether a place comes after the first copy; within one document only if that counts."""
+    return (doc > first_doc) | ((doc == first_doc) & (start > first_start)) if same_document else doc > first_doc
+
+
+RUN = "deal long, code long, doc long, row_key long, start int, number int, settled boolean"
+
+
+def run_rows(keyed: DataFrame, shape: Shape, same_document: bool) -> DataFrame:
+    """One row per run; ``deal`` is its minimiser, or anything for a run that is settled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, docs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_key", "doc"))
             for at, data, offsets in text_chunks(batch):
                 own, start, number, least, code = runs_of(data, offsets, shape)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a) for a in (least, code, docs[at + own], keys[at + own], start.astype(np.int32), number.astype(np.int32))],
-                        ["minimiser", "code", "doc", "row_key", "start", "number"],
-                    )
+                if not len(own):
+                    continue
+                doc, key = docs[at + own], keys[at + own]
+                order = np.lexsort((start, doc, code, least))
+                head = np.ones(len(order), dtype=bool)
+                head[1:] = (code[order[1:]] != code[order[:-1]]) | (least[order[1:]] != least[order[:-1]])
+                first = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+                settled = np.zeros(len(order), dtype=bool)
+                settled[order] = later_than(doc[order], start[order], doc[first], start[first], same_document)
+                deal = np.where(settled, mix((key + start).view(np.uint64)).view(np.int64), least)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, code, doc, key, start.astype(np.int32), number.astype(np.int32), settled)], ["deal", "code", "doc", "row_key", "start", "number", "settled"])
+
+    return keyed.select("row_key", "doc", "text").mapInArrow(run, RUN)
+
+
+class Settler:
+    """Streams over runs in order of (deal, code, doc, start); keeps at most ``hot`` open runs of one minimiser."""
+
+    fields = "minimiser long, strings long, doc long, row_key long, start int, number int"
+
+    def __init__(self, same_document: bool, hot: int):
+        self._same, self._hot = same_document, hot
+        self._deal = self._code = self._doc = self._start = None
+        self._codes, self._held, self._rows = 0, [], 0
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Settled runs (strings 0) and the open ones of finished minimisers."""
+        deal, code, doc, key, start, number, settled = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        if settled.any():
+            yield self._batch(deal[settled], 0, doc[settled], key[settled], start[settled], number[settled])
+            left = ~settled
+            deal, code, doc, key, start, number = (x[left] for x in (deal, code, doc, key, start, number))
+        n = len(deal)
+        if not n:
+            return
+        goes_on = self._deal is not None and self._deal == deal[0]
+        new_deal, head = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        new_deal[1:] = deal[1:] != deal[:-1]
+        new_deal[0] = not goes_on
+        head[1:] = new_deal[1:] | (code[1:] != code[:-1])
+        head[0] = not (goes_on and self._code == code[0])
+        if not goes_on:
+            yield from self._finish()
+        nth = np.cumsum(head) - 1
+        first_doc, first_start = doc[head], start[head]
+        if not head[0]:
+            nth, first_doc, first_start = nth + 1, np.concatenate([[self._doc], first_doc]), np.concatenate([[self._start], first_start])
+        later = later_than(doc, start, first_doc[nth], first_start[nth], self._same)
+        if later.any():
+            yield self._batch(deal[later], 0, doc[later], key[later], start[later], number[later])
+        group = np.cumsum(new_deal) - (0 if goes_on else 1)
+        codes = np.bincount(group, weights=head, minlength=int(group[-1]) + 1).astype(np.int64)
+        codes[0] += self._codes if goes_on else 0
+        last = group[-1]
+        whole = ~later & (group < last) & (codes[group] > 1)
+        if goes_on and last > 0:  # the minimiser carried over ends in this batch
+            own = ~later & (group == 0)
+            self._hold(deal[own], doc[own], key[own], start[own], number[own])
+            self._codes = int(codes[0])
+            yield from self._finish()
+            whole &= group > 0
+        if whole.any():
+            counts = np.bincount(group[whole], minlength=int(last) + 1)
+            yield self._batch(deal[whole], np.where(counts[group[whole]] > self._hot, self._hot + 1, counts[group[whole]]), doc[whole], key[whole], start[whole], number[whole])
+        tail = ~later & (group == last)
+        self._hold(deal[tail], doc[tail], key[tail], start[tail], number[tail])
+        self._codes = int(codes[last])
+        self._deal, self._code, self._doc, self._start = deal[-1], code[-1], first_doc[-1], first_start[-1]
+        if self._rows > self._hot and self._codes > 1:
+            yield from self._flush(self._hot + 1)
+            self._rows = self._hot + 1  # whatever follows of this minimiser is hot as well
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self._finish()
+
+    def _hold(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self._held.append(columns)
+            self._rows += len(columns[0])
+
+    def _flush(self, strings: int) -> Iterator[pa.RecordBatch]:
+        if self._held:
+            deal, doc, key, start, number = (np.concatenate(c) for c in zip(*self._held, strict=True))
+            yield self._batch(deal, strings, doc, key, start, number)
+        self._held = []
+
+    def _finish(self) -> Iterator[pa.RecordBatch]:
+        if self._codes > 1:
+            yield from self._flush(min(self._rows, self._hot + 1))
+        self._codes, self._held, self._rows = 0, [], 0
+
+    @staticmethod
+    def _batch(deal: np.ndarray, strings, doc: np.ndarray, key: np.ndarray, start: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        count = np.broadcast_to(np.asarray(strings, dtype=np.int64), deal.shape)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, count, doc, key, start, number)], ["minimiser", "strings", "doc", "row_key", "start", "number"])
+
+
+def settle(runs: DataFrame, same_document: bool) -> DataFrame:
+    """Settled runs (strings 0: an earlier copy exists) and open ones with the number of their minimiser's open runs."""
+    hot = HOT
 
-    return keyed.select("row_key", "doc", "text").mapInArrow(run, "minimiser long, code long, doc long, row_key long, start int, number int")
-
-
-def split_runs(runs: DataFrame, shape: Shape, same_document_counts: bool) -> tuple[DataFrame, DataFrame]:
-    """(spans, open runs).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settler = Settler(same_document, hot)
+        for batch in batches:
+            yield from settler.feed(batch)
+        yield from settler.end()
 
-    spans: row_key, start, stop of runs whose whole string has an earlier copy. Open runs: first
-    copies whose minimiser has other strings as well, with the number of strings. Whether a copy
-    in the same document counts as earlier decides what is a later copy.
-    """
-    by_string = materialize(runs.groupBy("minimiser", "code").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("copies")), "strings")
-    several = by_string.groupBy("minimiser").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1")
-    at = F.struct("doc", "start")
-    later = at > F.col("first") if same_document_counts else F.col("doc") > F.col("first.doc")
-    repeated = runs.join(by_string.where("copies > 1").drop("copies"), ["minimiser", "code"]).where(later)
-    spans = repeated.select("row_key", "start", (F.col("start") + F.col("number") + (shape.window - 1)).alias("stop"))
-    if same_document_counts:
-        firsts = runs.join(by_string.select("minimiser", "code", F.col("first.doc").alias("doc"), F.col("first.start").alias("start")), ["minimiser", "code", "doc", "start"], "left_semi")
-    else:
-        firsts = runs.join(by_string.select("minimiser", "code", F.col("first.doc").alias("doc")), ["minimiser", "code", "doc"], "left_semi")
-    return spans, firsts.join(several, "minimiser")
+    return runs.repartition("deal").sortWithinPartitions("deal", "code", "doc", "start").mapInArrow(run, Settler.fields)
 
 
 def fetch_strings(keyed: DataFrame, open_runs: DataFrame, shape: Shape) -> DataFrame:
@@ -258,11 +351,11 @@ def string_windows(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple
     return own, starts - borders[own], codes[0], codes[1]
 
 
-def compare_hot(strings: DataFrame, shape: Shape, same_document_counts: bool) -> DataFrame:
+def compare_hot(strings: DataFrame, shape: Shape, same_document: bool) -> DataFrame:
     """spans of windows with an earlier copy, by a plain aggregation that no hot group can stall."""
     singles = materialize(window_rows(strings, shape), "hot-windows")
     first = singles.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = F.struct("doc", "start") > F.col("first") if same_document_counts else F.col("doc") > F.col("first.doc")
+    later = F.struct("doc", "start") > F.col("first") if same_document else F.col("doc") > F.col("first.doc")
     return singles.join(first, ["one", "two"]).where(later).select("row_key", "start", (F.col("start") + shape.window).alias("stop"))
 
 
@@ -296,22 +389,22 @@ def marked_spans(keys: np.ndarray, starts: np.ndarray, window: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(starts[first].astype(np.int32)), pa.array((starts[last] + window).astype(np.int32))], ["row_key", "start", "stop"])
 
 
-def removal_spans(docs: DataFrame, shape: Shape, same_document_counts: bool, compare: Callable[[pa.Table, Shape], pa.RecordBatch], together: int) -> tuple[DataFrame, DataFrame]:
+def removal_spans(docs: DataFrame, shape: Shape, same_document: bool, compare: Callable[[pa.Table, Shape], pa.RecordBatch], together: int) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, spans row_key/start/stop in symbols to remove).
 
     ``together`` is about the number of strings that one call of ``compare`` gets.
     """
     keyed = with_row_key(docs)
-    runs = materialize(run_rows(keyed, shape), "runs")
-    spans, open_runs = split_runs(runs, shape, same_document_counts)
-    strings = materialize(fetch_strings(keyed, open_runs, shape), "strings-open")
+    settled = materialize(settle(run_rows(keyed, shape, same_document), same_document), "settled-runs", free=True)
+    spans = settled.where("strings = 0").select("row_key", "start", (F.col("start") + F.col("number") + (shape.window - 1)).alias("stop"))
+    strings = materialize(fetch_strings(keyed, settled.where("strings > 0").drop("doc"), shape), "strings-open", free=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, together):
             yield compare(table, shape)
 
     usual = strings.where(F.col("strings") <= HOT).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "row_key long, start int, stop int")
-    return keyed, materialize(spans.unionByName(usual).unionByName(compare_hot(strings.where(F.col("strings") > HOT), shape, same_document_counts)), "spans")
+    return keyed, materialize(spans.unionByName(usual).unionByName(compare_hot(strings.where(F.col("strings") > HOT), shape, same_document)), "spans")
 
 
 def spans_by_document(keyed: DataFrame, spans: DataFrame) -> DataFrame:
