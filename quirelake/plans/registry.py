@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirelake.plans import extensions, parity
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    return {}
+    return parity.QUERIES | extensions.QUERIES
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return parity.ORACLES | extensions.ORACLES
