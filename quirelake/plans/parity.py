@@ -397,13 +397,13 @@ def agreement_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with v as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding) as x from embeddings), c as (select vec_id, x, i % 4 as ch, i // 4 as q from v)
-select vec_id, cast((q // 8) * 2 + (q // 2) % 2 as int) as "row", cast(((q // 4) % 2) * 2 + q % 2 as int) as col, cast(ch as int) as channel, round(x::double, 5) as x from c where (q // 8) < 2
+select vec_id, cast((q // 8) * 2 + (q // 2) % 2 as int) as "row", cast(((q // 4) % 2) * 2 + q % 2 as int) as col, cast(ch as int) as channel, round(x::double, 5) + 0.0 as x from c where (q // 8) < 2
 """)
 def feature_map_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors read as a 2 x 2 grid of 2 x 2 cells with 4 channels, put in image order."""
     flat = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     at = geometry.grid_position(F.col("i"), w=2, m1=2, m2=2, channels=4)
-    return flat.where("i < 64").select("vec_id", at.alias("g"), F.round(F.col("x").cast("double"), 5).alias("x")).select("vec_id", "g.row", "g.col", "g.channel", "x")
+    return flat.where("i < 64").select("vec_id", at.alias("g"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x")).select("vec_id", "g.row", "g.col", "g.channel", "x")
 
 
 @query("select doc_id, cast(1 + n_chars // 3000 as bigint) as pages, cast(n_chars as bigint) as characters from documents where n_chars > 0")
