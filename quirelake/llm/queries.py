@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from quirelake.llm import decontaminate, jaccard, lines, packing, planes, quality, sharding, substrings, superkmers, toxicity
+from quirelake.llm.oracles import ORACLES as ORACLES
 
 QUERIES = {
     "op5_suffix_array_line_dedup": lines.op5_suffix_array_line_dedup,
@@ -18,5 +19,3 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op10_bounded_ring_sharding": sharding.op10_bounded_ring_sharding,
 }
-
-ORACLES: dict[str, str] = {}
