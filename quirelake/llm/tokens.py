@@ -9,6 +9,7 @@ cache has two generations of ``CACHE`` chunks at most, so a worker's memory is b
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -45,10 +46,14 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._keys = self._spaced if keeps_space else self._bare
         self._keeps_space = keeps_space
+        self._folds = not keeps_space and self._ids("AÉ") == self._ids("aé")
         self._dtype = dtype
         self._young: dict = {}
         self._old: dict = {}
 
+    def _ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
     @staticmethod
     def _spaced(text: str) -> list:
         if text[:1].isspace() or text[-1:].isspace() or UNUSUAL.search(text) or any(r in text for r in RUNS):
@@ -57,8 +62,11 @@ class ChunkEncoder:
         keys[0] = (keys[0],)
         return keys
 
-    @staticmethod
-    def _bare(text: str) -> list:
+    def _bare(self, text: str) -> list:
+        if self._folds:
+            with contextlib.suppress(UnicodeEncodeError):  # Latin-1 letters fold one to one, as the tokenizer does later
+                text.encode("latin-1")
+                text = text.lower()
         return BARE.findall(text) if CONTROL.search(text) else text.split()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
