@@ -140,7 +140,7 @@ def write_planes(docs: DataFrame, tokenizer: str, folder: str, keeps_space: bool
     and speculative attempts do no harm. Any folder that pyarrow's file systems open will do.
     """
     spark = docs.sparkSession
-    ordered = id_and_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = id_and_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
