@@ -434,3 +434,53 @@ def pages_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(c))
     return cut.select("page_id", "block_idx", label.alias("label"), plain.alias("content"))
+
+
+@query("""
+select source as archive, 'docs/' || doc_id || '.md' as member, strlen(text) as size, sha256(text) as sha from documents where doc_id % 10 <> 3
+union all select source, 'images/' || doc_id || '.jpg', 4, sha256('jpeg') from documents where doc_id % 25 = 0
+""")
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into one archive per source and unpacked again under limits; some suffixes are left out."""
+    from quirelake.operators import archives
+
+    docs = read(spark, sf_dir, "documents")
+    name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 10 == 3, ".exe").otherwise(".md"))
+    own = docs.select(F.col("source").alias("archive"), name.alias("member"), F.col("text").cast("binary").alias("content"))
+    pictures = docs.where("doc_id % 25 = 0").select(F.col("source").alias("archive"), F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("member"), F.lit("jpeg").cast("binary").alias("content"))
+    back = archives.checked(archives.entries(archives.pack(own.unionByName(pictures))), 10**6, 1 << 40, (".md", ".jpg"))
+    return back.where("error is null").select("archive", "member", "size", F.sha2("content", 256).alias("sha"))
+
+
+@query("""
+select doc_id, case doc_id % 5 when 0 then 'images/' || doc_id || '.jpg' when 1 then 'markdowns/' || doc_id || '.png' end as resolved from documents
+""")
+def asset_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of result files: siblings, parents, remote, escaping, unlisted."""
+    from quirelake.functions import assets
+
+    i = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 5
+    asset = (
+        F.when(kind == 0, F.concat(F.lit("../images/"), i, F.lit(".jpg?v=1")))
+        .when(kind == 1, F.concat(F.lit("./"), i, F.lit(".png")))
+        .when(kind == 2, F.concat(F.lit("https://far.example/"), i))
+        .when(kind == 3, F.concat(F.lit("../../images/"), i, F.lit(".jpg")))
+        .otherwise(F.concat(F.lit("missing/"), i))
+    )
+    files_ = F.array(F.concat(F.lit("images/"), i, F.lit(".jpg")), F.concat(F.lit("markdowns/"), i, F.lit(".png")))
+    return read(spark, sf_dir, "documents").select("doc_id", assets.resolve_asset(F.lit("markdowns/document.md"), asset, files_).alias("resolved"))
+
+
+@query("""
+with p as (select p_partkey, 4 + 2 * (p_size % 3) as h, 6 + 2 * (p_size % 5) as w from part),
+i as (select p_partkey, h, w, unnest(range(0, h * w)) as k from p)
+select p_partkey, cast(k as int) as patch, cast((k // 4) // (w // 2) * 2 + (k % 4) // 2 as int) as "row", cast((k // 4) % (w // 2) * 2 + k % 2 as int) as col from i where p_partkey <= 50
+""")
+def patch_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row and column of image patches walked by merge windows."""
+    from quirelake.functions import assets
+
+    own = read(spark, sf_dir, "part").where("p_partkey <= 50").select("p_partkey", (4 + 2 * (F.col("p_size") % 3)).alias("h"), (6 + 2 * (F.col("p_size") % 5)).alias("w"))
+    walked = own.withColumn("patch", F.explode(F.sequence(F.lit(0), (F.col("h") * F.col("w") - 1).cast("int"))))
+    return walked.select("p_partkey", "patch", assets.patch_position(F.col("patch"), F.col("h"), F.col("w"), 2).alias("p")).select("p_partkey", "patch", "p.row", "p.col")
