@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import is_repetitive, retry_temperature
+from quirelake.session import kept
 
 #: A model turns a frame with the columns key, question and attempt into one with raw added.
 Model = Callable[[DataFrame, Column], DataFrame]
@@ -23,14 +24,15 @@ def stand_in(rows: DataFrame, temperature: Column) -> DataFrame:
 def with_retries(rows: DataFrame, model: Model, most: int = 3) -> DataFrame:
     """key, question, attempt, raw, repetitive after at most ``most`` further rounds with rising temperature.
 
-    Each round runs the model over the flagged rows alone; the last answer stands. The number of
-    rounds is fixed, so the plan is unrolled.
+    Each round runs the model over the flagged rows alone; the last answer stands. A round's
+    answers are kept, so that no later round asks the model for them again.
     """
-    now = model(rows.withColumn("attempt", F.lit(0)), F.lit(0.0)).withColumn("repetitive", is_repetitive(F.col("raw")))
+    now = kept(model(rows.withColumn("attempt", F.lit(0)), F.lit(0.0)).withColumn("repetitive", is_repetitive(F.col("raw"))))
     settled = now.where(~F.col("repetitive"))
     flagged = now.where("repetitive")
     for k in range(most):
-        again = model(flagged.drop("raw", "repetitive").withColumn("attempt", F.lit(k + 1)), retry_temperature(F.lit(k))).withColumn("repetitive", is_repetitive(F.col("raw")))
+        asked = flagged.drop("raw", "repetitive").withColumn("attempt", F.lit(k + 1))
+        again = kept(model(asked, retry_temperature(F.lit(k))).withColumn("repetitive", is_repetitive(F.col("raw"))))
         settled = settled.unionByName(again.where(~F.col("repetitive")))
         flagged = again.where("repetitive")
     return settled.unionByName(flagged)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the plans rely on for right results or for adaptive re-planning.
 DEFAULTS = {
@@ -23,3 +24,10 @@ def build_session(app: str = "quirelake", master: str | None = None, **conf: str
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: checkpointed where the session names a checkpoint folder, else persisted."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
