@@ -52,7 +52,9 @@ def has_repeated_ending(text: Column, longest: int = 250) -> Column:
         times = (F.lit(5) + F.floor(F.lit(12) / size)).cast("int")
         return (F.length(text) >= times * size) & (F.right(text, times * size) == F.repeat(F.right(text, size), times))
 
-    return F.coalesce(F.exists(F.sequence(F.lit(1), F.lit(longest)), at), F.lit(False))
+    # Five copies at least have to fit, so short texts need few lengths.
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.floor(F.length(text) / 5)).cast("int"))
+    return F.coalesce(F.when(F.length(text) >= 5, F.exists(lengths, at)), F.lit(False))
 
 
 def is_repetitive(text: Column, cut: int = 50) -> Column:
