@@ -57,8 +57,12 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Bits of the shingles, two to four times as many bits as shingles, a power of two."""
-    bits = np.zeros(1 << max(3, int(2 * len(hashes) - 1).bit_length()), dtype=np.uint8)
+    """Bits of the shingles: a power of two of at least eight bits a shingle, four for sets of more than 256.
+
+    The width never falls with the size and doubles once at most between sizes that can link.
+    """
+    wide = min(2048, 1 << max(3, (8 * len(hashes) - 1).bit_length()))
+    bits = np.zeros(max(wide, 1 << (4 * len(hashes) - 1).bit_length()), dtype=np.uint8)
     bits[hashes & np.uint64(len(bits) - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
