@@ -4,7 +4,8 @@
 2. Sets are dealt into buckets by 60 keys of three minima each. A pair at the threshold of 0.75
    shares none with probability (1 - 0.75**3)**60 < 1e-14, more similar pairs with less.
 3. Each set is compared with the least set of its buckets. That joins nearly all of a group of
-   near copies at one comparison a set, however large the group.
+   near copies at one comparison a set, however large the group; two more rounds compare each set
+   left over with the two sets of a neighbouring component that it meets most.
 4. Buckets whose sets are not yet in one component get a signature tree: leaves are sets with
    bitmaps of their shingles, inner nodes hold OR-combined bitmaps and size ranges. A dual
    traversal goes down only where two nodes' greatest possible overlap reaches the threshold and
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm import runs
@@ -37,6 +38,8 @@ SHINGLE = 5
 BANDS, ROWS = 60, 3
 #: Sets of one bucket that a task holds at most twice, and members of a star that one task compares.
 BLOCK, STAR = 2_000, 2_000
+#: Rounds in which sets are compared with the sets of a neighbouring component before trees are grown.
+JOINING_ROUNDS = 2
 #: Children of a tree node.
 FANOUT = 8
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -263,6 +266,24 @@ def _star_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "deal", "part", "sid", "members"])
 
 
+def with_component(members: DataFrame, known: DataFrame) -> DataFrame:
+    return members.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+
+def proposals(labelled: DataFrame, tried: DataFrame) -> DataFrame:
+    """a, b (a < b): for each set outside its bucket's least component, the two sets of that component it meets most.
+
+    At most two pairs a set, so a large group of near copies grows together in linear time; what
+    this leaves apart is left to the trees.
+    """
+    ends = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    mixed = labelled.join(ends, "bucket")
+    heads = mixed.where("component = lo").groupBy("bucket").agg(F.min("sid").alias("nearest"))
+    met = mixed.where("component <> lo").join(heads, "bucket").groupBy("sid", "nearest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("n"), "nearest"))).where("place <= 2")
+    return best.select(F.least("sid", "nearest").alias("a"), F.greatest("sid", "nearest").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+
 def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int = 75) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id (least doc_id reachable): one row per document."""
     keyed = runs.with_row_key(docs)
@@ -275,13 +296,20 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int =
     stars = materialize(members.where("sid <> head").groupBy("sid").agg(F.min("head").alias("a")).select("a", F.col("sid").alias("b")), "star-pairs")
     first = materialize(exact_links(keyed, reps, stars, size, threshold), "star-links")
     known = materialize(components(first), "first-components")
-    labelled = members.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    tried, links = stars, first
+    for _ in range(JOINING_ROUNDS):
+        labelled = with_component(members, known)
+        asked = materialize(proposals(labelled, tried), "proposals")
+        tried = tried.unionByName(asked)
+        links = links.unionByName(materialize(exact_links(keyed, reps, asked, size, threshold), "more-links"))
+        known = materialize(components(links), "joined-components")
+    labelled = with_component(members, known)
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     # Signatures travel only to buckets that may still hold a link.
     open_rows = labelled.join(mixed, "bucket").select("bucket", "size", "sid", "component").join(reps.select("sid", "n_shingles", "signature"), "sid")
-    pairs = materialize(tree_candidates(open_rows, threshold).join(stars, ["a", "b"], "left_anti"), "tree-pairs")
+    pairs = materialize(tree_candidates(open_rows, threshold).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
     second = exact_links(keyed, reps, pairs, size, threshold)
-    final = materialize(components(first.unionByName(second)), "components")
+    final = materialize(components(links.unionByName(second)), "components")
     named = reps.select("sid", "doc").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
     by_set = named.join(least, "component").select("sid", "least")
