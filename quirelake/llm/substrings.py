@@ -31,7 +31,7 @@ from quirelake.llm import runs
 WINDOW = 100
 GRAM = 24
 #: Strings of one collection, as far as whole minimisers allow.
-TOGETHER = 4_000
+TOGETHER = 1_500
 
 
 def suffix_order(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,38 +41,40 @@ def suffix_order(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     suffixes come first, in the order of the strings.
     """
     lengths = np.diff(offsets)
-    many = len(lengths)
-    shift = np.int64(40)
-    low = np.int64((1 << 40) - 1)
-    pairs = np.arange(many, dtype=np.int64)  # first symbol and row of the rest; empty suffixes by string
-    names = np.arange(many, dtype=np.int64) << np.int64(32)  # string and suffix length
-    row = np.arange(many, dtype=np.int64)  # of the longest suffix that each string has so far
+    many, longest = len(lengths), int(lengths.max(initial=0))
+    # Narrow numbers where they fit: the rounds are bound by memory traffic.
+    pair, shift = (np.uint32, 23) if len(data) + many < 1 << 23 else (np.uint64, 40)
+    bits = longest.bit_length()
+    name = np.uint32 if many << bits < 1 << 32 else np.uint64
+    shift, bits, low = pair(shift), name(bits), pair((1 << shift) - 1)
+    pairs = np.arange(many, dtype=pair)  # first symbol and row of the rest; empty suffixes by string
+    names = np.arange(many, dtype=name) << bits  # string and suffix length
+    row = np.arange(many, dtype=pair)  # of the longest suffix that each string has so far
     by_length = np.argsort(-lengths, kind="stable")
-    for j in range(1, int(lengths.max(initial=0)) + 1):
-        active = by_length[: np.searchsorted(-lengths[by_length], -j, "right")]
-        symbol = data[offsets[active + 1] - j].astype(np.int64) + 1
-        fresh = (symbol << shift) | row[active]
+    active_in = np.searchsorted(-lengths[by_length], -np.arange(1, longest + 1), "right")
+    for j, count in enumerate(active_in.tolist(), 1):
+        active = by_length[:count]
+        fresh = ((data[offsets[active + 1] - j].astype(pair) + pair(1)) << shift) | row[active]
         order = np.argsort(fresh)
         active, fresh = active[order], fresh[order]
         at = np.searchsorted(pairs, fresh)
-        moved = np.cumsum(np.bincount(at, minlength=len(pairs) + 1)[: len(pairs)])
-        rest = fresh & low
-        fresh += moved[rest]
+        grown_by = np.zeros(len(pairs) + 1, dtype=pair)
+        np.add.at(grown_by, at, pair(1))
+        moved = np.cumsum(grown_by[:-1], dtype=pair)
+        fresh += moved[fresh & low]
         new = at + np.arange(len(at))
-        old = np.arange(len(pairs)) + moved
-        tails = pairs & low
-        tails[many:] += moved[tails[many:]]  # the first rows are empty suffixes, which have no rest
-        grown = np.empty(len(pairs) + len(at), dtype=np.int64)
-        grown[old] = (pairs & ~low) | tails
+        pairs[many:] += moved[pairs[many:] & low]  # the first rows are empty suffixes, which have no rest
+        old = np.ones(len(pairs) + len(at), dtype=bool)
+        old[new] = False
+        grown, named = np.empty(len(old), dtype=pair), np.empty(len(old), dtype=name)
+        grown[old], named[old] = pairs, names
         grown[new] = fresh
-        named = np.empty_like(grown)
-        named[old] = names
-        named[new] = (active << np.int64(32)) | np.int64(j)
+        named[new] = (active.astype(name) << bits) | name(j)
         pairs, names = grown, named
         row[active] = new
     transform = np.zeros(len(pairs), dtype=np.int16)
     transform[pairs[many:] & low] = pairs[many:] >> shift
-    return names >> np.int64(32), names & np.int64(0xFFFFFFFF), transform
+    return (names >> bits).astype(np.int64), (names & name((1 << int(bits)) - 1)).astype(np.int64), transform
 
 
 def equal_neighbours(data: np.ndarray, starts: np.ndarray, width: int, block: int = 20_000) -> np.ndarray:
