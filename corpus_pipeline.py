@@ -37,7 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(jaccard.similarity_components(docs), "near-duplicates").where("n_shingles > 0")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.row_key")
+    # Not by component_id: unlike texts under a null or repeated id may share it.
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.row_key")
     others = found.select("row_key").distinct().join(first, "row_key", "left_anti")
     kept = boxed(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).join(others, "row_key", "left_anti")
     # Rows repeated as a whole are one set of one group; texts without words are in no group.

@@ -285,7 +285,11 @@ def proposals(labelled: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int = 75) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id (least doc_id reachable): one row per document."""
+    """doc_id, row_key, n_shingles, component_id (least doc_id reachable), component: one row per document.
+
+    Components may share a least doc_id (a null or repeated one); component (the least sid, null for
+    an empty set) tells them apart.
+    """
     keyed = runs.with_row_key(docs)
     sets = materialize(set_rows(keyed, size), "sets")
     # Repeated sets collapse here, before anything is dealt into buckets.
@@ -312,9 +316,9 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int =
     final = materialize(components(links.unionByName(second)), "components")
     named = reps.select("sid", "doc").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
-    by_set = named.join(least, "component").select("sid", "least")
+    by_set = named.join(least, "component").select("sid", "component", "least")
     own = F.coalesce(F.col("least"), F.col("doc"))
-    return sets.join(by_set, "sid", "left").select("doc_id", "row_key", "n_shingles", F.when(own != -(2**63), own).alias("component_id"))
+    return sets.join(by_set, "sid", "left").select("doc_id", "row_key", "n_shingles", F.when(own != -(2**63), own).alias("component_id"), "component")
 
 
 def op2_signature_tree_join(spark, sf_dir: str) -> DataFrame:

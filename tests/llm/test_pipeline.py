@@ -49,6 +49,14 @@ def test_one_of_each_group_stays(results):
     assert rows(results["near_duplicates"]) == want
 
 
+def test_unlike_texts_of_one_id_stay_apart(spark):
+    unlike = [" ".join(f"{w}{k}" for k in range(30)) for w in ("ant", "bee", "cow", "dog", "elk")]
+    some = [(None, unlike[0]), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (8, unlike[3] + " more"), (9, unlike[4])]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    got = rows(corpus_pipeline.keep_one_of_each_group(spark, docs, SF))
+    assert got == Counter(r for r in some if r[0] != 8)
+
+
 def test_benchmark_text_goes(spark, results):
     windows = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
