@@ -481,6 +481,6 @@ def patch_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row and column of image patches walked by merge windows."""
     from quirelake.functions import assets
 
-    own = read(spark, sf_dir, "part").where("p_partkey <= 50").select("p_partkey", (4 + 2 * (F.col("p_size") % 3)).alias("h"), (6 + 2 * (F.col("p_size") % 5)).alias("w"))
+    own = read(spark, sf_dir, "part").select("p_partkey", (4 + 2 * (F.col("p_size") % 3)).alias("h"), (6 + 2 * (F.col("p_size") % 5)).alias("w"))
     walked = own.withColumn("patch", F.explode(F.sequence(F.lit(0), (F.col("h") * F.col("w") - 1).cast("int"))))
     return walked.select("p_partkey", "patch", assets.patch_position(F.col("patch"), F.col("h"), F.col("w"), 2).alias("p")).select("p_partkey", "patch", "p.row", "p.col")

@@ -72,3 +72,14 @@ def test_inputs_are_filtered_by_suffix(spark, tmp_path):
 def test_markdown_files_round_trip(spark, tmp_path):
     files.write_markdown(spark.createDataFrame([("d1", "# a\n\nb\n"), ("d2", "c\n")], "stem string, markdown string"), str(tmp_path / "md"))
     assert {(r.stem, r.value.strip()) for r in files.read_markdown(spark, str(tmp_path / "md")).collect()} == {("d1", "# a\n\nb"), ("d2", "c")}
+
+
+def test_every_part_has_its_patch_positions(spark):
+    got, want = {}, {}
+    for r in registry.all_queries()["patch_positions"](spark, SF).collect():
+        got.setdefault(r.p_partkey, []).append((r.patch, r.row, r.col))
+    for r in spark.read.parquet(f"{SF}/part.parquet").collect():
+        h, w = 4 + 2 * (r.p_size % 3), 6 + 2 * (r.p_size % 5)
+        places = [(y + a, x + b) for y in range(0, h, 2) for x in range(0, w, 2) for a in (0, 1) for b in (0, 1)]
+        want[r.p_partkey] = [(k, *p) for k, p in enumerate(places)]
+    assert {k: sorted(v) for k, v in got.items()} == want
