@@ -98,12 +98,12 @@ s as (select doc_id, t, case when length(t) > 50 then left(t, length(t) - 50) el
 select doc_id, {_REPEATED.format(t='t')} as whole, {_REPEATED.format(t='t')} or (length(t) > 50 and {_REPEATED.format(t='u')}) as repetitive from s
 """)
 def repeated_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with made-up repeated endings, some hidden behind fifty other characters."""
+    """Whole texts, half of them with made-up repeated endings, some hidden behind fifty other characters."""
     t, i = F.col("text"), F.col("doc_id")
     made = (
-        F.when(i % 4 == 0, F.concat(F.left(t, F.lit(200)), F.repeat(F.substring(t, (1 + i % 7).cast("int"), (1 + i % 20).cast("int")), (5 + i % 9).cast("int"))))
-        .when(i % 4 == 1, F.concat(F.left(t, F.lit(100)), F.repeat(F.lit("ab"), F.lit(20)), F.substring(t, F.lit(1), F.lit(50))))
-        .otherwise(F.left(t, F.lit(300)))
+        F.when(i % 4 == 0, F.concat(t, F.repeat(F.substring(t, (1 + i % 7).cast("int"), (1 + i % 20).cast("int")), (5 + i % 9).cast("int"))))
+        .when(i % 4 == 1, F.concat(t, F.repeat(F.lit("ab"), F.lit(20)), F.substring(t, F.lit(1), F.lit(50))))
+        .otherwise(t)
     )
     some = read(spark, sf_dir, "documents").select("doc_id", made.alias("t"))
     return some.select("doc_id", text.has_repeated_ending(F.col("t")).alias("whole"), text.is_repetitive(F.col("t")).alias("repetitive"))

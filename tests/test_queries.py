@@ -83,3 +83,20 @@ def test_every_part_has_its_patch_positions(spark):
         places = [(y + a, x + b) for y in range(0, h, 2) for x in range(0, w, 2) for a in (0, 1) for b in (0, 1)]
         want[r.p_partkey] = [(k, *p) for k, p in enumerate(places)]
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def _ends_repeated(t):
+    return any(len(t) >= (n := 5 + 12 // k) * k and t.endswith(t[-k:] * n) for k in range(1, 251))
+
+
+def test_repeated_endings_are_sought_in_whole_texts(spark, tmp_path):
+    some = [(2, "ab cd " * 20 + "x" * 300), (3, "word %s " * 60 + "the end of it " * 9 + "c" * 50), (6, "y" * 290 + " and so on, over more than fifty characters, to its plain end"), (4, "z" * 250 + "q"), (5, "uvw" * 200), (7, None)]
+    made = {2: lambda t: t, 3: lambda t: t, 0: lambda t: t + t[(i := 4) % 7 : i % 7 + 1 + i % 20] * (5 + i % 9), 1: lambda t: t + "ab" * 20 + t[:50]}
+    spark.createDataFrame(some, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.whole, r.repetitive) for r in registry.all_queries()["repeated_endings"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in some:
+        t = made[i % 4](t) if t else ""
+        want[i] = (_ends_repeated(t), _ends_repeated(t) or len(t) > 50 and _ends_repeated(t[:-50]))
+    assert want[2] == (True, True) and want[3] == (True, True) and want[6] == (False, False)
+    assert got == want
