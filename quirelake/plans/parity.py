@@ -288,9 +288,10 @@ m as (select doc_id, case when n = 1 then one else regexp_replace(many, '^\\s+|\
 select doc_id, case when t = '' then t else t || chr(10) end as markdown from m
 """)
 def single_task_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-task outputs of one to three pages each, with headings where there are several."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("page_idx"))
-    return blocks.pages_markdown(docs.select("doc_id", "page_idx", F.substring("text", F.col("page_idx") * 40 + 1, F.lit(40)).alias("raw")))
+    """Single-task outputs, a page for every forty characters of the text, with headings where there are several."""
+    pages = F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).otherwise(F.array(F.lit("")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("page_idx", "raw"))
+    return blocks.pages_markdown(docs)
 
 
 _STATUS = "case event_type when 'signup' then 'queued' when 'view' then 'processing' when 'click' then 'extracting' when 'purchase' then 'succeeded' else 'failed' end"

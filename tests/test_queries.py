@@ -100,3 +100,14 @@ def test_repeated_endings_are_sought_in_whole_texts(spark, tmp_path):
         want[i] = (_ends_repeated(t), _ends_repeated(t) or len(t) > 50 and _ends_repeated(t[:-50]))
     assert want[2] == (True, True) and want[3] == (True, True) and want[6] == (False, False)
     assert got == want
+
+
+def test_single_task_markdown_holds_whole_texts(spark, tmp_path):
+    some = [(0, "abcdefg " * 100), (1, "né\U0001f600w\n" * 70), (2, "short"), (3, "x" * 40), (4, "x" * 41), (5, ""), (6, None)]
+    spark.createDataFrame(some, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in some:
+        pages = [(t or "")[k : k + 40].strip() for k in range(0, max(len(t or ""), 1), 40)]
+        text = pages[0] if len(pages) == 1 else "\n\n".join(f"## Page {k + 1}\n\n{p}" for k, p in enumerate(pages)).strip()
+        want[i] = text + "\n" if text else ""
+    assert {r.doc_id: r.markdown for r in registry.all_queries()["single_task_markdown"](spark, str(tmp_path)).collect()} == want
