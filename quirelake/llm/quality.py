@@ -1,7 +1,7 @@
 """Quality rules: base counts and compression bands (operator 8).
 
 A text's zstandard ratio (compressed size over size, level 3) is held against limits for its
-length, and the ratio of every fixed chunk against one band of its own. Below a lower limit a
+length, and the ratio of every fixed chunk and of as many last bytes against one band of its own. Below a lower limit a
 text repeats itself or is padded with a small alphabet; above an upper one it is noise. The
 limits are points on a line over the logarithm of the length.
 
@@ -89,16 +89,22 @@ class Compressor:
         self._pack, self._bands = zstandard.ZstdCompressor(level=bands.level).compress, bands
 
     def verdict(self, data: bytes) -> tuple[float, float, float, bool]:
-        """Ratio of the whole, lowest and highest of its full chunks, and whether all lie in their bands."""
+        """Ratio of the whole, lowest and highest of its chunks, and whether all lie in their bands.
+
+        The last chunk ends with the text, so every byte of a text of at least a chunk is in one.
+        """
         if not data:
             return 0.0, 0.0, 0.0, False
         size = self._bands.chunk_bytes
         whole = len(self._pack(data)) / len(data)
         low, high = self._bands.limits(len(data))
         kept = low <= whole <= high
-        chunks = [len(self._pack(data[k : k + size])) / size for k in range(0, len(data) - size + 1, size)] if len(data) >= 2 * size else []
-        if not chunks:
+        if len(data) < size:
             return whole, whole, whole, kept
+        starts = list(range(0, len(data) - size + 1, size))
+        if len(data) % size:
+            starts.append(len(data) - size)
+        chunks = [len(self._pack(data[k : k + size])) / size for k in starts]
         return whole, min(chunks), max(chunks), kept and self._bands.chunk[0] <= min(chunks) and max(chunks) <= self._bands.chunk[1]
 
 

@@ -146,6 +146,24 @@ def test_quality_bands_reject_what_repeats_or_is_noise():
     assert not verdict(b"")[3]
 
 
+def test_quality_bands_reach_the_last_byte():
+    import base64
+
+    rnd = np.random.default_rng(3)
+    syllables = "ab ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo yu za".split()
+    lexicon = ["".join(rnd.choice(syllables, rnd.integers(1, 5))) for _ in range(6000)]
+    data = " ".join(rnd.choice(lexicon, 6000)).encode()
+    noise = base64.b85encode(rnd.bytes(1600))
+    verdict = quality.Compressor(quality.Bands()).verdict
+    for clean in (data[: 10 * 2048], data[: 2048 + 2000]):
+        assert verdict(clean)[3]
+        full = clean[: len(clean) // 2048 * 2048]
+        _, _, high, kept = verdict(full + noise)
+        assert high > 0.66 and not kept
+        _, low, _, kept = verdict(full + b"na " * 660)
+        assert low < 0.445 and not kept
+
+
 @pytest.mark.parametrize("hot", [2000, 2])
 def test_window_removal(spark, odd_docs, no_docs, texts, monkeypatch, hot):
     monkeypatch.setattr(runs, "HOT", hot)
