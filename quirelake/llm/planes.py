@@ -144,7 +144,7 @@ def write_planes(docs: DataFrame, tokenizer: str, folder: str, keeps_space: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
-        encode, end, n_docs = encoder(tokenizer, keeps_space, dtype).encode, np.array([end_id], dtype=dtype).tobytes(), 0
+        encode, end, n_docs = encoder(tokenizer, keeps_space, dtype).encode, np.array([end_id], dtype=dtype), 0
         batch = next((b for b in batches if b.num_rows), None)
         if batch is None:
             return
@@ -156,7 +156,7 @@ def write_planes(docs: DataFrame, tokenizer: str, folder: str, keeps_space: bool
             while batch is not None:
                 texts = batch.column("text").to_pylist()
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    writer.add(doc_id, ids + end)
+                    writer.add(doc_id, np.concatenate([ids, end]).tobytes())
                 n_docs += len(texts)
                 batch = next(batches, None)
             n_ids = writer.close()

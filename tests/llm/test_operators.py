@@ -93,18 +93,45 @@ def test_packing_is_whole_and_tight(spark, odd_docs, no_docs, texts):
     assert packing.pack(no_docs, path).count() == 0
 
 
-def test_best_fit_plan_equals_best_fit_decreasing():
-    rnd = np.random.default_rng(4)
-    counts = dict(Counter(rnd.integers(1, 101, 3000).tolist()))
-    used = 1 + max(first + n - 1 for _, _, n, first, _ in packing.best_fit_plan(counts, 100))
+def best_fit_decreasing(lengths, capacity):
     gaps = []
-    for size in sorted(Counter(counts).elements(), reverse=True):
+    for size in sorted(lengths, reverse=True):
         fit = [g for g in gaps if g >= size]
-        g = min(fit) if fit else 100
+        g = min(fit) if fit else capacity
         if fit:
             gaps.remove(g)
         gaps.append(g - size)
-    assert used == len(gaps)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("top", [100, 40, 3, 1])
+def test_supersteps_pack_like_best_fit_decreasing(spark, top):
+    lengths = np.random.default_rng(4).integers(1, top + 1, 900).tolist()
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "piece_no long, length long")
+    small = packing.best_fit(pieces, 100).collect()
+    assert sorted(r.piece_no for r in small) == [k for k, n in enumerate(lengths) if n <= 50]
+    loads = Counter({k: n for k, n in enumerate(lengths) if n > 50})
+    for r in small:
+        loads[r.sequence_id] += lengths[r.piece_no]
+    assert max(loads.values()) <= 100
+    assert len(loads) <= 1.03 * best_fit_decreasing(lengths, 100) + 1
+
+
+def test_ranges_meet_by_rank():
+    rnd = np.random.default_rng(8)
+    waiting, free = {k: int(rnd.integers(0, 9)) for k in range(30)}, {k: int(rnd.integers(0, 9)) for k in range(30)}
+    taken = defaultdict(set)
+    for a, first, b, slot, n in packing.across_ranges(waiting, free):
+        assert a < b and first + n <= waiting[a] and slot + n <= free[b] and n > 0
+        for k in range(n):
+            assert first + k not in taken["piece", a] and slot + k not in taken["slot", b]
+            taken["piece", a].add(first + k)
+            taken["slot", b].add(slot + k)
+    stack = met = 0
+    for k in range(30):
+        use = min(stack, free[k])
+        met, stack = met + use, stack - use + waiting[k]
+    assert sum(len(v) for (kind, _), v in taken.items() if kind == "piece") == met
 
 
 def test_planes_round_trip(spark, odd_docs, no_docs, texts):
