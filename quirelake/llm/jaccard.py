@@ -1,17 +1,21 @@
 """Similarity join of word-shingle sets with signature trees (operator 2).
 
 1. Every text becomes a set of hashed shingles; texts with the same set are one node from here on.
-2. Sets are dealt into buckets by 60 keys of three minima each. A pair at the threshold of 0.75
-   shares none with probability (1 - 0.75**3)**60 < 1e-14, more similar pairs with less.
-3. Each set is compared with the least set of its buckets. That joins nearly all of a group of
-   near copies at one comparison a set, however large the group; two more rounds compare each set
-   left over with the two sets of a neighbouring component that it meets most.
-4. Buckets whose sets are not yet in one component get a signature tree: leaves are sets with
-   bitmaps of their shingles, inner nodes hold OR-combined bitmaps and size ranges. A dual
+2. Sets are dealt into families: sets that share one of 60 keys of three minima each, directly or
+   by way of others. A pair at the threshold of 0.75 shares no key with probability
+   (1 - 0.75**3)**60 < 1e-14, more similar pairs with less. With ``exact`` there is one family of
+   all sets instead, cut by size; then nothing rests on chance.
+3. Every family gets signature trees: leaves are sets with bitmaps of their shingles, inner nodes
+   hold OR-combined bitmaps and size ranges, and similar sets lie next to each other. A dual
    traversal goes down only where two nodes' greatest possible overlap reaches the threshold and
-   they are not in one component; what reaches the leaves is compared exactly.
+   they are not in one component yet. Leaves hold their whole sets, so a pair that arrives there
+   is decided at once; a link is passed on only if it joins two components, one less than there
+   are sets at most.
+4. The links of all trees make the components.
 
-Large buckets are cut into blocks and traversed by pairs of blocks, so a task's memory is bounded.
+A family of more than ``BLOCK`` sets, or of very long ones, is cut into blocks by size class and
+hash; trees of two blocks at a time are traversed against each other, so a task's memory has a
+bound. Sizes further apart than the threshold allows never meet.
 
 Cases: null and empty texts and texts of white space have an empty set and are linked with
 nothing; texts of fewer words than a shingle have their whole sequence as one; equal ids are
@@ -21,8 +25,8 @@ very long text is one set; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +38,18 @@ from quirelake.llm.common import materialize
 from quirelake.llm.components import components
 
 SHINGLE = 5
-#: Buckets per set, and minima that make a bucket's key.
+#: Keys per set, and minima that make a key.
 BANDS, ROWS = 60, 3
-#: Sets of one bucket that a task holds at most twice, and members of a star that one task compares.
-BLOCK, STAR = 2_000, 2_000
-#: Rounds in which sets are compared with the sets of a neighbouring component before trees are grown.
-JOINING_ROUNDS = 2
+#: Sets, and bytes of shingles, that a task holds at most twice.
+BLOCK, BLOCK_BYTES = 2_000, 24 << 20
 #: Children of a tree node.
-FANOUT = 8
+FANOUT = 16
+#: Bits of the narrowest and the widest bitmap.
+NARROW, WIDE = 64, 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_FACTORS = np.random.default_rng(75).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(75)
+_FLIPS, _FACTORS = (_RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -59,20 +64,9 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -
     return rolling.of(starts, np.minimum(starts + size, borders[owner + 1])), out
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Bits of the shingles: a power of two of at least eight bits a shingle, four for sets of more than 256.
-
-    The width never falls with the size and doubles once at most between sizes that can link.
-    """
-    wide = min(2048, 1 << max(3, (8 * len(hashes) - 1).bit_length()))
-    bits = np.zeros(max(wide, 1 << (4 * len(hashes) - 1).bit_length()), dtype=np.uint8)
-    bits[hashes & np.uint64(len(bits) - 1)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
 def set_rows(keyed: DataFrame, size: int) -> DataFrame:
-    """row_key, doc, doc_id, n_shingles, sid (null for an empty set), bands, signature."""
-    fields = "row_key long, doc long, doc_id long, n_shingles long, sid long, bands array<long>, signature binary"
+    """row_key, doc, doc_id, n_shingles, sid (null for an empty set), bands."""
+    fields = "row_key long, doc long, doc_id long, n_shingles long, sid long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,22 +76,22 @@ def set_rows(keyed: DataFrame, size: int) -> DataFrame:
                 rows = len(offsets) - 1
                 minima = np.empty((len(full), BANDS * ROWS), dtype=np.uint64)
                 if len(full):
-                    for k, factor in enumerate(_FACTORS):
-                        x = hashes * factor
+                    for k, (flip, factor) in enumerate(zip(_FLIPS, _FACTORS, strict=True)):
+                        x = (hashes ^ flip) * factor
                         minima[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), borders[full])
                 keys = np.zeros((len(full), BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     keys = runs.mix(keys ^ minima[:, r::ROWS]) + np.uint64(r + 1)
                 keys = runs.mix(keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                counts, sids, bands, signatures = [0] * rows, [None] * rows, [None] * rows, [None] * rows
+                counts, sids, bands = [0] * rows, [None] * rows, [None] * rows
                 for j, i in enumerate(full.tolist()):
                     own = np.unique(hashes[borders[i] : borders[i + 1]])
-                    counts[i], signatures[i], bands[i] = len(own), bitmap(own), keys[j]
+                    counts[i], bands[i] = len(own), keys[j]
                     sids[i] = int((runs.mix(own ^ np.uint64(len(own))).sum(dtype=np.uint64)).view(np.int64))
                 part = batch.slice(at, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("row_key", "doc", "doc_id")] + [pa.array(counts, pa.int64()), pa.array(sids, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-                    ["row_key", "doc", "doc_id", "n_shingles", "sid", "bands", "signature"],
+                    [part.column(c) for c in ("row_key", "doc", "doc_id")] + [pa.array(counts, pa.int64()), pa.array(sids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["row_key", "doc", "doc_id", "n_shingles", "sid", "bands"],
                 )
 
     return keyed.select("row_key", "doc", "doc_id", "text").mapInArrow(run, fields)
@@ -108,217 +102,210 @@ def linked(x: int, y: int, common: int, threshold: int) -> bool:
     return 100 * common >= threshold * (x + y - common)
 
 
-@dataclass
-class Node:
-    """Sets below: OR of their bitmaps, sizes, most shingles beyond bits, component if one, blocks, children."""
-
-    bits: int
-    least: int
-    most: int
-    excess: int
-    component: int | None
-    member: int
-    children: list[Node]
-
-
-def grow(leaves: list[Node]) -> Node | None:
-    """A tree over leaves sorted by size."""
-    level = sorted(leaves, key=lambda n: (n.component, n.least))
-    while len(level) > 1:
-        above = []
-        for k in range(0, len(level), FANOUT):
-            own = level[k : k + FANOUT]
-            bits = 0
-            for n in own:
-                bits |= n.bits
-            one = own[0].component if all(n.component == own[0].component for n in own) else None
-            above.append(Node(bits, min(n.least for n in own), max(n.most for n in own), max(n.excess for n in own), one, -1, own))
-        level = above
-    return level[0] if level else None
-
-
-def traverse(a: Node, b: Node, threshold: int) -> Iterator[tuple[int, int]]:
-    """Pairs of members of different components whose bitmaps allow a link."""
-    stack = [(a, b)]
-    while stack:
-        x, y = stack.pop()
-        if x.component is not None and x.component == y.component:
-            continue
-        bound = min(x.most, y.most, (x.bits & y.bits).bit_count() + min(x.excess, y.excess))
-        if not linked(x.least, y.least, min(bound, x.least, y.least) if not x.children and not y.children else bound, threshold):
-            continue
-        if not x.children and not y.children:
-            if x.member != y.member:
-                yield x.member, y.member
-        elif x is y:
-            stack += [(c, d) for k, c in enumerate(x.children) for d in x.children[k:]]
-        elif len(x.children) >= len(y.children):
-            stack += [(c, y) for c in x.children]
-        else:
-            stack += [(x, c) for c in y.children]
-
-
-def leaf(member: int, n: int, signature: int, width: int, own: int, component: int) -> Node:
-    while own > width:  # halves of a bitmap laid over each other are the bitmap of half the width
-        own //= 2
-        signature = (signature | (signature >> own)) & ((1 << own) - 1)
-    return Node(signature, n, n, n - signature.bit_count(), component, member, [])
-
-
-def tree_pairs(sizes: list[int], signatures: list[bytes], comps: list[int], sides: list[int], threshold: int) -> set[tuple[int, int]]:
-    """Candidate pairs of one bucket, or of sides 0 and 1 of a pair of blocks."""
-    found: set[tuple[int, int]] = set()
-    if len(set(comps)) < 2:
+class Joined:
+    """Components that grow together."""
+
+    def __init__(self, n: int):
+        self._above = list(range(n))
+
+    def root(self, k: int) -> int:
+        above = self._above
+        while above[k] != k:
+            above[k] = above[above[k]]
+            k = above[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        self._above[max(a, b)] = min(a, b)
+
+
+class Tree:
+    """A signature tree over some sets: level 0 has the leaves, every further level their parents.
+
+    ``width`` is that of the bitmaps, a power of two of about eight bits a shingle. A node's bits
+    are the OR of its children's; ``excess`` is the most shingles of a set below it beyond its bits.
+    """
+
+    def __init__(self, members: list[int], sets: list[np.ndarray], width: int):
+        self.members = sorted(members, key=lambda k: sets[k][:3].tolist())  # least hashes first: similar sets are neighbours
+        bits = np.zeros((len(members), width), np.uint8)
+        for row, k in enumerate(self.members):
+            bits[row, sets[k] & np.uint64(width - 1)] = 1
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        size = np.array([len(sets[k]) for k in self.members])
+        self.bits, self.least, self.most, self.excess = [packed], [size], [size], [size - bits.sum(axis=1, dtype=np.int64)]
+        while len(self.bits[-1]) > 1:
+            first = np.arange(0, len(self.bits[-1]), FANOUT)
+            self.bits.append(np.bitwise_or.reduceat(self.bits[-1], first, axis=0))
+            self.least.append(np.minimum.reduceat(self.least[-1], first))
+            self.most.append(np.maximum.reduceat(self.most[-1], first))
+            self.excess.append(np.maximum.reduceat(self.excess[-1], first))
+        self.height = len(self.bits) - 1
+        self._uniform: set[tuple[int, int]] = set()
+
+    def children(self, level: int, node: int) -> range:
+        return range(node * FANOUT, min((node + 1) * FANOUT, len(self.bits[level - 1])))
+
+    def component(self, level: int, node: int, joined: Joined) -> int | None:
+        """The component of all leaves below a node, if there is one."""
+        if level == 0 or (level, node) in self._uniform:
+            return joined.root(self.members[node * FANOUT**level])
+        found = None
+        for child in self.children(level, node):
+            own = self.component(level - 1, child, joined)
+            if own is None or found not in (None, own):
+                return None
+            found = own
+        self._uniform.add((level, node))
         return found
-    widths = [8 * len(s) for s in signatures]
-    bits = [int.from_bytes(s, "little") for s in signatures]
-    crossing = len(set(sides)) > 1
-    for width in sorted(set(widths)):
-        # Sizes that can link differ by less than two, so widths by two at most.
-        near = {w: [[leaf(i, sizes[i], bits[i], width, w, comps[i]) for i in range(len(sizes)) if widths[i] == w and sides[i] == side] for side in (0, 1)] for w in (width, 2 * width)}
-        same, wide = [grow(x) for x in near[width]], [grow(x) for x in near[2 * width]]
-        if crossing:
-            pairs = [(same[0], same[1]), (same[0], wide[1]), (same[1], wide[0])]
-        else:
-            side = sides[0]
-            pairs = [(same[side], same[side]), (same[side], wide[side])]
-        for a, b in pairs:
-            if a is not None and b is not None:
-                found.update((min(p), max(p)) for p in traverse(a, b, threshold))
-    return found
 
 
-def tree_candidates(rows: DataFrame, threshold: int) -> DataFrame:
-    """a, b (a < b): pairs that the trees of all buckets let through. rows: bucket, size, sid, n_shingles, signature, component."""
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("minimiser"), "sid", "n_shingles", "signature", "component", (F.col("mine") > F.col("other")).cast("int").alias("side")
-    )
+def possible(a: Tree, x: range, b: Tree, y: range, at: tuple[int, int], threshold: int) -> np.ndarray:
+    """Pairs of nodes (one of each range, on the levels ``at``) whose greatest possible overlap allows a link; best first."""
+    p, q = slice(x.start, x.stop), slice(y.start, y.stop)
+    i, j = at
+    common = np.bitwise_count(a.bits[i][p, None] & b.bits[j][None, q]).sum(axis=2, dtype=np.int64)
+    common += np.minimum(a.excess[i][p, None], b.excess[j][None, q])
+    common = np.minimum(common, np.minimum(a.most[i][p, None], b.most[j][None, q]))
+    # The sets that allow a link most are the smallest, but none is smaller than the overlap.
+    fits = 100 * common >= threshold * (np.maximum(a.least[i][p, None], common) + np.maximum(b.least[j][None, q], common) - common)
+    found = np.argwhere(fits)
+    return found[np.argsort(-common[fits], kind="stable")] + (x.start, y.start)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs.whole_groups(batches, 4_000):
-            codes = table.column("minimiser").to_numpy()
-            sids, sizes, comps, sides, signatures = (table.column(c).to_pylist() for c in ("sid", "n_shingles", "component", "side", "signature"))
-            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
-            pairs = set()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                for x, y in tree_pairs(sizes[a:b], signatures[a:b], comps[a:b], sides[a:b], threshold):
-                    p, q = sids[a + x], sids[a + y]
-                    pairs.add((min(p, q), max(p, q)))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(pairs), strict=True)], ["a", "b"])
 
-    return dealt.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "a long, b long").distinct()
+def traverse(a: Tree, b: Tree, sets: list[np.ndarray], joined: Joined, threshold: int) -> Iterator[tuple[int, int]]:
+    """Links between leaves of two trees (or of one with itself) that join two components."""
+    stack = [(a.height, 0, b.height, 0)]
+    while stack:
+        i, x, j, y = stack.pop()
+        same = a is b and i == j and x == y
+        if i == j == 0:
+            p, q = a.members[x], b.members[y]
+            r, s = joined.root(p), joined.root(q)
+            if r != s:
+                one, two = (sets[p], sets[q]) if len(sets[p]) <= len(sets[q]) else (sets[q], sets[p])
+                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+                if linked(len(one), len(two), int((two[at] == one).sum()), threshold):
+                    joined.join(r, s)
+                    yield p, q
+            continue
+        one = a.component(i, x, joined)
+        if one is not None and one == b.component(j, y, joined):
+            continue
+        down_a, down_b = i >= j, j >= i
+        xs, ys = a.children(i, x) if down_a else range(x, x + 1), b.children(j, y) if down_b else range(y, y + 1)
+        level = (i - down_a, j - down_b)
+        found = possible(a, xs, b, ys, level, threshold).tolist()
+        # The best pairs are taken from the stack first; a node is compared with itself before others.
+        stack += [(level[0], p, level[1], q) for p, q in reversed(found) if not same or p < q]
+        if same and level[0] > 0:
+            stack += [(level[0], p, level[1], q) for p, q in reversed(found) if p == q]
+
+
+def tree_links(sets: list[np.ndarray], sides: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Links that join all components among the sets of one side, or between sets of sides 0 and 1."""
+    widths = [min(WIDE, max(NARROW, 1 << (8 * len(s) - 1).bit_length())) for s in sets]
+    joined, found, crossing = Joined(len(sets)), [], len(set(sides)) > 1
+    for width in sorted(set(widths)):
+        # Sizes that can link differ by less than two, so widths by two at most; the wider are folded by the narrower tree's width.
+        trees = {(w, side): Tree(own, sets, width) for w in (width, 2 * width) for side in (0, 1) if (own := [k for k, x in enumerate(widths) if x == w and sides[k] == side])}
+        pairs = [((width, 0), (width, 1)), ((width, 0), (2 * width, 1)), ((width, 1), (2 * width, 0))] if crossing else [((width, s), (w, s)) for s in set(sides) for w in (width, 2 * width)]
+        for p, q in pairs:
+            if p in trees and q in trees:
+                found += traverse(trees[p], trees[q], sets, joined, threshold)
+    return found
 
 
-def exact_links(keyed: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Those pairs (a, b) of sets that link. The sets of all b of an a stream past that of a.
+def dealt(members: DataFrame, threshold: int) -> DataFrame:
+    """row_key, sid and the tasks (key, side) of each member (family, sid, row_key, n_shingles).
 
-    Stars of more than ``STAR`` members are dealt to several tasks, each with a copy of a's set.
+    A family that one task holds is one task. Others are cut into size classes, these into blocks;
+    a block meets the blocks of its own class and of the next.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("deals"))
-    members = pairs.join(counts, "a").select(F.col("b").alias("sid"), F.struct(F.col("a"), F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"), F.lit(1).alias("part")).alias("role"))
-    heads = counts.select(F.col("a").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")).select("sid", F.struct(F.col("sid").alias("a"), F.col("deal").cast("int").alias("deal"), F.lit(0).alias("part")).alias("role"))
-    roles = members.unionByName(heads).join(reps.select("sid", "row_key"), "sid").groupBy("row_key").agg(F.first("sid").alias("sid"), F.collect_list("role").alias("roles"))
+    ratio = math.log(100 / threshold)
+    parts = lambda n, total: F.greatest(F.ceil(n / BLOCK), F.ceil(total * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    size = F.floor(F.log(F.col("n_shingles")) / ratio).cast("int")
+    own = members.withColumn("class", size).groupBy("family", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    whole = own.groupBy("family").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", parts(F.col("n"), F.col("total"))))).alias("blocks"))
+    plans = whole.select("family", F.when(parts(F.col("n"), F.col("total")) > 1, F.col("blocks")).alias("blocks"))
+    placed = members.join(plans, "family").withColumn("class", size)
+    at = lambda c: F.coalesce(F.element_at("blocks", c), F.lit(0))
+    mine = F.pmod(F.xxhash64("sid"), F.greatest(at(F.col("class")), F.lit(1))).cast("int")
+    empty = F.array().cast("array<int>")
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(empty)
+    task = lambda low, one, high, two, side: F.struct(F.xxhash64("family", low, one, high, two).alias("key"), side.cast("int").alias("side"))
+    here, above, below = F.col("class"), F.col("class") + 1, F.col("class") - 1
+    same = F.transform(numbers(at(here)), lambda o: task(here, F.least(F.col("mine"), o), here, F.greatest(F.col("mine"), o), F.col("mine") > o))
+    up = F.transform(numbers(at(above)), lambda o: task(here, F.col("mine"), above, o, F.lit(False)))
+    down = F.transform(numbers(at(below)), lambda o: task(below, o, here, F.col("mine"), F.lit(True)))
+    alone = F.array(F.struct(F.xxhash64("family").alias("key"), F.lit(0).alias("side")))
+    tasks = F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(same, up, down))
+    return placed.withColumn("mine", mine).select("row_key", "sid", tasks.alias("tasks"))
+
+
+def family_links(keyed: DataFrame, members: DataFrame, size: int, threshold: int) -> DataFrame:
+    """a, b: links that the trees of all families find. members: family, sid, row_key, n_shingles."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, roles = batch.column("sid").to_pylist(), batch.column("roles").to_pylist()
+            sids, tasks = batch.column("sid").to_pylist(), batch.column("tasks").to_pylist()
             for at, data, offsets in runs.text_chunks(batch):
                 hashes, borders = shingle_hashes(data, offsets, size)
                 rows, held = [], 0
                 for i in range(len(offsets) - 1):
                     own = np.unique(hashes[borders[i] : borders[i + 1]]).tobytes()
-                    for r in roles[at + i]:
-                        rows.append((r["a"], r["deal"], r["part"], sids[at + i], own))
+                    for task in tasks[at + i]:
+                        rows.append((task["key"], task["side"], sids[at + i], own))
                         held += len(own)
                         if held > 8 << 20:
-                            yield _star_batch(rows)
+                            yield batch_of(rows)
                             rows, held = [], 0
                 if rows:
-                    yield _star_batch(rows)
+                    yield batch_of(rows)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, key = np.zeros(0, np.uint64), None
-        for batch in batches:
-            found = []
-            for a, deal, part, sid, packed in zip(*(batch.column(c).to_pylist() for c in ("a", "deal", "part", "sid", "members")), strict=True):
-                own = np.frombuffer(packed, np.uint64)
-                if part == 0:
-                    head, key = own, (a, deal)
-                elif key == (a, deal):
-                    at = np.minimum(np.searchsorted(head, own), len(head) - 1)
-                    if linked(len(head), len(own), int((head[at] == own).sum()), threshold):
-                        found.append((a, sid))
-                else:
-                    raise ValueError("a star without its head")
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["minimiser", "side", "sid", "shingles"])
 
-    sets = keyed.select("row_key", "text").join(roles, "row_key").select("sid", "roles", "text").mapInArrow(spread, "a long, deal int, part int, sid long, members binary")
-    return sets.repartition("a", "deal").sortWithinPartitions("a", "deal", "part").mapInArrow(compare, "a long, b long")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs.whole_groups(batches, BLOCK, BLOCK_BYTES):
+            codes, sids, sides = (table.column(c).to_pylist() for c in ("minimiser", "sid", "side"))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+            cuts = [k for k in range(len(codes)) if k == 0 or codes[k] != codes[k - 1]] + [len(codes)]
+            links = [(sids[a + p], sids[a + q]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p, q in tree_links(sets[a:b], sides[a:b], threshold)]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-
-def _star_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "deal", "part", "sid", "members"])
-
-
-def with_component(members: DataFrame, known: DataFrame) -> DataFrame:
-    return members.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-
-
-def proposals(labelled: DataFrame, tried: DataFrame) -> DataFrame:
-    """a, b (a < b): for each set outside its bucket's least component, the two sets of that component it meets most.
-
-    At most two pairs a set, so a large group of near copies grows together in linear time; what
-    this leaves apart is left to the trees.
-    """
-    ends = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    mixed = labelled.join(ends, "bucket")
-    heads = mixed.where("component = lo").groupBy("bucket").agg(F.min("sid").alias("nearest"))
-    met = mixed.where("component <> lo").join(heads, "bucket").groupBy("sid", "nearest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    best = met.withColumn("place", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("n"), "nearest"))).where("place <= 2")
-    return best.select(F.least("sid", "nearest").alias("a"), F.greatest("sid", "nearest").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    texts = keyed.select("row_key", "text").join(dealt(members, threshold).hint("merge"), "row_key").dropDuplicates(["row_key"])
+    sets = texts.select("sid", "tasks", "text").mapInArrow(spread, "minimiser long, side int, sid long, shingles binary")
+    return sets.repartition("minimiser").sortWithinPartitions("minimiser", "sid").mapInArrow(join, "a long, b long")
 
 
-def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int = 75) -> DataFrame:
+def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int = 75, exact: bool = False) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id (least doc_id reachable), component: one row per document.
 
     Components may share a least doc_id (a null or repeated one); component (the least sid, null for
-    an empty set) tells them apart.
+    an empty set) tells them apart. ``exact`` compares all sizes that can link instead of families
+    that share a key: for measuring, and for tables of which that is affordable.
     """
     keyed = runs.with_row_key(docs)
     sets = materialize(set_rows(keyed, size), "sets")
-    # Repeated sets collapse here, before anything is dealt into buckets.
-    reps = materialize(sets.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("doc"), F.min(F.struct("row_key", "n_shingles", "bands", "signature")).alias("r")).select("sid", "doc", "r.*"), "set-reps")
-    placed = reps.select("sid", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(placed.join(shared, "bucket"), "bucket-members")
-    stars = materialize(members.where("sid <> head").groupBy("sid").agg(F.min("head").alias("a")).select("a", F.col("sid").alias("b")), "star-pairs")
-    first = materialize(exact_links(keyed, reps, stars, size, threshold), "star-links")
-    known = materialize(components(first), "first-components")
-    tried, links = stars, first
-    for _ in range(JOINING_ROUNDS):
-        labelled = with_component(members, known)
-        asked = materialize(proposals(labelled, tried), "proposals")
-        tried = tried.unionByName(asked)
-        links = links.unionByName(materialize(exact_links(keyed, reps, asked, size, threshold), "more-links"))
-        known = materialize(components(links), "joined-components")
-    labelled = with_component(members, known)
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    # Signatures travel only to buckets that may still hold a link.
-    open_rows = labelled.join(mixed, "bucket").select("bucket", "size", "sid", "component").join(reps.select("sid", "n_shingles", "signature"), "sid")
-    pairs = materialize(tree_candidates(open_rows, threshold).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
-    second = exact_links(keyed, reps, pairs, size, threshold)
-    final = materialize(components(links.unionByName(second)), "components")
-    named = reps.select("sid", "doc").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    # Repeated sets collapse here, before anything is dealt out.
+    reps = materialize(sets.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("doc"), F.min(F.struct("row_key", "n_shingles", "bands")).alias("r")).select("sid", "doc", "r.*"), "set-reps")
+    if exact:
+        members = reps.select(F.lit(0).cast("long").alias("family"), "sid", "row_key", "n_shingles")
+    else:
+        placed = reps.select("sid", F.explode("bands").alias("key"))
+        near = placed.select(F.col("sid").alias("a"), F.min("sid").over(Window.partitionBy("key").orderBy("sid")).alias("b")).where("a <> b")
+        families = materialize(components(near), "families")
+        members = families.select(F.col("node").alias("sid"), F.col("component").alias("family")).join(reps.select("sid", "row_key", "n_shingles").hint("merge"), "sid")
+    links = family_links(keyed, materialize(members, "family-members"), size, threshold)
+    final = materialize(components(links), "components")
+    named = reps.select("sid", "doc").join(final.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
     by_set = named.join(least, "component").select("sid", "component", "least")
     own = F.coalesce(F.col("least"), F.col("doc"))
-    return sets.join(by_set, "sid", "left").select("doc_id", "row_key", "n_shingles", F.when(own != -(2**63), own).alias("component_id"), "component")
+    return sets.drop("bands").join(by_set, "sid", "left").select("doc_id", "row_key", "n_shingles", F.when(own != -(2**63), own).alias("component_id"), "component")
 
 
 def op2_signature_tree_join(spark, sf_dir: str) -> DataFrame:

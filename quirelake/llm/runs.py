@@ -19,6 +19,7 @@ with one minimiser form a run. The steps:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,9 @@ from quirelake.llm.common import materialize
 HOT = 2_000
 #: Bytes of text worked on at once (a longer text is worked on alone).
 CHUNK = 1 << 20
+#: Bytes up to which words are hashed together.
+LONG_WORD = 64
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _BASE2 = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
@@ -90,7 +94,31 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, borders = word_bounds(data, offsets)
-    return Rolling(_BYTE[data], base).of(starts, ends) if len(starts) else np.zeros(0, np.uint64), borders
+    return word_hashes(data, starts, ends, base), borders
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A hash of each word, eight bytes at a time; words beyond ``LONG_WORD`` bytes get a keyed digest.
+
+    A chain of mixing steps, so that no pattern of letters cancels out, as it does in a polynomial
+    modulo a power of two.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    codes = mix(sizes.astype(np.uint64) + seed)
+    own = np.arange(len(sizes))
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            own = np.flatnonzero(sizes > at)
+        if not len(own):
+            break
+        codes[own] = mix(codes[own] ^ (lanes[starts[own] + at] & _LANE[np.minimum(sizes[own] - at, 8)]))
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=int(seed).to_bytes(8, "little")).digest()
+        codes[k] = np.uint64(int.from_bytes(digest, "little"))
+    return codes
 
 
 def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -359,14 +387,18 @@ def compare_hot(strings: DataFrame, shape: Shape, same_document: bool) -> DataFr
     return singles.join(first, ["one", "two"]).where(later).select("row_key", "start", (F.col("start") + shape.window).alias("stop"))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[pa.Table]:
-    """Regroups batches sorted by minimiser into tables that hold every minimiser's rows whole."""
+def whole_groups(batches: Iterator[pa.RecordBatch], most_rows: int, most_bytes: int = 64 << 20) -> Iterator[pa.Table]:
+    """Regroups batches sorted by minimiser into tables that hold every minimiser's rows whole.
+
+    Tables have about ``most_rows`` or ``most_bytes``, as far as whole minimisers allow.
+    """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < most_rows:
+        size += batch.nbytes
+        if rows < most_rows and size < most_bytes:
             continue
         table = pa.Table.from_batches(held)
         codes = table.column("minimiser").to_numpy()
@@ -374,6 +406,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[
         if cut:
             yield table.slice(0, cut)
             held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+            size = sum(b.nbytes for b in held)
     if held:
         yield pa.Table.from_batches(held)
 

@@ -266,24 +266,66 @@ def groups(rows):
     return [(i, len(s), None if m == -(2**63) else m) for (i, _), s, m in zip(rows, sets, ids, strict=True)]
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_similarity_components(spark, odd_docs, no_docs, texts, monkeypatch, block):
+@pytest.mark.parametrize(("block", "exact"), [(2000, False), (3, False), (3, True), (2000, True)])
+def test_similarity_components(spark, odd_docs, no_docs, texts, monkeypatch, block, exact):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "STAR", block)
-    got = jaccard.similarity_components(odd_docs).collect()
+    got = jaccard.similarity_components(odd_docs, exact=exact).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(groups(texts))
-    assert jaccard.similarity_components(no_docs).count() == 0
+    assert jaccard.similarity_components(no_docs, exact=exact).count() == 0
 
 
-def test_tree_pairs_lose_no_link():
+def test_words_of_doubling_patterns_stay_apart(spark):
+    """A polynomial hash modulo 2**64 takes such words for equal from some length on."""
+    a, b = "a", "b"
+    while len(a) < 2048:
+        a, b = a + b, b + a
+        if len(a) in (8, 64, 256, 512, 1024, 2048):
+            data = f"{a} {b}".encode()
+            one, two = runs.word_symbols(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()
+            assert one != two
+    words = prose_words(60)
+    docs = spark.createDataFrame([(1, " ".join([*words[:30], a, *words[30:]])), (2, " ".join([*words[:30], b, *words[30:]]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in superkmers.remove_repeated_windows(docs, window=40, gram=4).collect()} == {1: 0, 2: 0}
+    short = spark.createDataFrame([(1, " ".join([*words[:2], a, *words[2:4]])), (2, " ".join([*words[:2], b, *words[2:4]]))], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.similarity_components(short).collect()} == {1, 2}
+
+
+def prose_words(n):
+    rnd = np.random.default_rng(21)
+    return ["".join(rnd.choice(list("abcdefgh"), 6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_trees_lose_no_link(crossing):
     rnd = np.random.default_rng(9)
     sets = []
     for _ in range(25):
-        base = rnd.integers(0, 2**63, int(rnd.integers(4, 200)), dtype=np.uint64)
-        sets += [np.unique(np.concatenate([base[: len(base) - k], rnd.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 1, len(base) // 9, len(base) // 5)]
-    found = jaccard.tree_pairs([len(s) for s in sets], [jaccard.bitmap(s) for s in sets], list(range(len(sets))), [0] * len(sets), 75)
-    links = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])), 75)}
-    assert links and links <= found and len(found) < 4 * len(links)
+        base = rnd.integers(0, 2**63, int(rnd.integers(1, 300)), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: len(base) - k], rnd.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 1, len(base) // 9, len(base) // 5, len(base) // 8, len(base) // 7)]
+    sides = [int(rnd.integers(0, 2)) if crossing else 0 for _ in sets]
+    found = jaccard.tree_links(sets, sides, 75)
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])), 75) and (not crossing or sides[a] != sides[b])}
+    assert links and {(min(p), max(p)) for p in found} <= links and len(found) < len(sets)
+    root = list(range(len(sets)))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for p, q in found:
+        root[find(p)] = find(q)
+    assert all(find(p) == find(q) for p, q in links)
+
+
+def test_large_group_of_near_copies_gives_links_in_proportion():
+    rnd = np.random.default_rng(12)
+    base = rnd.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = []
+    for _ in range(400):
+        own = base.copy()
+        own[rnd.random(150) < rnd.random() * 0.3] = 0
+        own = np.where(own == 0, rnd.integers(0, 2**63, 150, dtype=np.uint64), own)
+        sets.append(np.unique(own))
+    assert len(jaccard.tree_links(sets, [0] * len(sets), 75)) < 400
 
 
 def test_components_of_chains(spark):
