@@ -31,6 +31,8 @@ def with_retries(rows: DataFrame, model: Model, most: int = 3) -> DataFrame:
     settled = now.where(~F.col("repetitive"))
     flagged = now.where("repetitive")
     for k in range(most):
+        if flagged.isEmpty():
+            break
         asked = flagged.drop("raw", "repetitive").withColumn("attempt", F.lit(k + 1))
         again = kept(model(asked, retry_temperature(F.lit(k))).withColumn("repetitive", is_repetitive(F.col("raw"))))
         settled = settled.unionByName(again.where(~F.col("repetitive")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the plans rely on for right results or for adaptive re-planning.
@@ -26,8 +28,28 @@ def build_session(app: str = "quirelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_LOCAL: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only on one machine (tests) a temporary folder stands in where that is unset; on a cluster it
+    would be another folder on every machine, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="quirelake-"))
+    return f"file://{_LOCAL[0]}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once: checkpointed where the session names a checkpoint folder, else persisted."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """``df`` computed once: written to the shared folder and read back, so that no lost executor takes it along."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
