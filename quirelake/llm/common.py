@@ -5,26 +5,22 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from quirelake.session import shared_dir
 
+#: Rows of one Arrow batch where rows are whole texts; Spark's own default is ten times as many.
+TEXT_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) a temporary folder stands in.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="quirelake-"))
-    return f"file://{_LOCAL[0]}"
+def small_batches(spark: SparkSession) -> None:
+    """Texts travel to Python in smaller batches from here on, which both the JVM and the workers hold whole."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= TEXT_ROWS:
+        spark.conf.set(_ROWS, str(TEXT_ROWS))
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -40,11 +36,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove an intermediate that no later plan reads."""
-    _remove(spark, path)
-
-
 def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -66,9 +57,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns an operator works on, whatever else the table carries."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def boxed(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns inside one column ``row``, so that none can clash; doc_id and text beside it."""
+    small_batches(docs.sparkSession)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

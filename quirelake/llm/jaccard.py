@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm import runs
-from quirelake.llm.common import materialize
+from quirelake.llm.common import materialize, small_batches
 from quirelake.llm.components import components
 
 SHINGLE = 5
@@ -288,6 +288,7 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int =
     an empty set) tells them apart. ``exact`` compares all sizes that can link instead of families
     that share a key: for measuring, and for tables of which that is affordable.
     """
+    small_batches(docs.sparkSession)
     keyed = runs.with_row_key(docs)
     sets = materialize(set_rows(keyed, size), "sets")
     # Repeated sets collapse here, before anything is dealt out.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import id_and_text
+from quirelake.llm.common import id_and_text, small_batches
 
 #: Labelled documents that a fit reads at most.
 SAMPLE = 8_000
@@ -195,6 +195,7 @@ def keep_below(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 kept.append(not lists or float(-np.expm1(-softplus(model.logits(lists, cache)).sum())) < least)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
