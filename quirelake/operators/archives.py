@@ -5,17 +5,15 @@ from __future__ import annotations
 import io
 import stat
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quirelake.operators.jobs import safe_member
 
 # Suffixes of files that are compressed already.
 STORED = (".7z", ".avi", ".gif", ".gz", ".jpeg", ".jpg", ".mp3", ".mp4", ".pdf", ".png", ".rar", ".webp", ".zip")
-MEMBERS = "archive string, ord int, member string, size long, is_dir boolean, is_symlink boolean, content binary, error string"
+UNPACKED = "archive string, member string, size long, content binary, error string"
 
 
 def _packed(members: pd.DataFrame) -> pd.DataFrame:
@@ -32,41 +30,55 @@ def pack(members: DataFrame) -> DataFrame:
     return members.select("archive", "member", "content").groupBy("archive").applyInPandas(_packed, "archive string, zip binary")
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [f.split()[0] for f in MEMBERS.split(", ")]
-    for batch in batches:
-        for archive, data in zip(batch["archive"], batch["zip"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(bytes(data))) as opened:
-                    for k, info in enumerate(opened.infolist()):
-                        link = stat.S_ISLNK(info.external_attr >> 16)
-                        content = None if info.is_dir() or link else opened.read(info)
-                        yield pd.DataFrame([(archive, k, info.filename, info.file_size, info.is_dir(), link, content, None)], columns=names)
-            except (zipfile.BadZipFile, OSError):
-                yield pd.DataFrame([(archive, 0, None, 0, False, False, None, "not a valid archive")], columns=names)
-
-
-def entries(archives: DataFrame) -> DataFrame:
-    """One row per member of (archive, zip); a broken archive is one row with an error."""
-    return archives.select("archive", "zip").mapInPandas(_entries, MEMBERS)
+def _is_safe(name: str) -> bool:
+    """Relative, without parent steps and drives."""
+    plain = name.replace("\\", "/")
+    return not (plain.startswith("/") or ".." in plain.split("/") or plain[1:2] == ":" and plain[0].isalpha())
 
 
-def checked(members: DataFrame, most_files: int, most_bytes: int, suffixes: tuple[str, ...]) -> DataFrame:
-    """Members that may be unpacked, and an error row for each archive that breaks a rule.
+def _members(data: bytes, most_files: int, most_bytes: int, suffixes: tuple[str, ...]) -> list[tuple[str, int, bytes]]:
+    """Allowed members of one archive; raises ValueError where a rule is broken.
 
-    All members count towards the number of files; bytes are summed over folders and allowed
-    suffixes alone. Other members are left out in silence.
+    The listing is judged before anything is inflated, and no more than the bytes allowed is read,
+    whatever sizes the listing claims.
     """
-    allowed = F.col("is_dir") | F.lower(F.regexp_extract("member", r"(\.[^./]+)\z", 1)).isin(*suffixes)
-    judged = members.withColumns({"unsafe": ~safe_member(F.col("member")) | F.col("is_symlink"), "allowed": allowed})
-    per = judged.groupBy("archive").agg(
-        F.max("error").alias("broken"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.when(F.col("allowed"), F.col("size"))), F.lit(0)).alias("bytes"), F.coalesce(F.bool_or("unsafe"), F.lit(False)).alias("unsafe")
-    )
-    error = F.coalesce(
-        F.col("broken"), F.when(F.col("files") > most_files, "too many files"), F.when(F.col("unsafe"), "an unsafe path"), F.when(F.col("bytes") > most_bytes, "over the extraction limit")
-    )
-    verdict = per.select("archive", error.alias("refused"))
-    joined = judged.drop("unsafe", "error").join(verdict, "archive")
-    fine = joined.where(F.col("refused").isNull() & F.col("allowed") & ~F.col("is_dir")).select("archive", "member", "size", "content", F.lit(None).cast("string").alias("error"))
-    bad = verdict.where(F.col("refused").isNotNull()).select("archive", F.lit(None).cast("string").alias("member"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("content"), F.col("refused").alias("error"))
-    return fine.unionByName(bad)
+    found, left = [], most_bytes
+    with zipfile.ZipFile(io.BytesIO(data)) as opened:
+        listed = opened.infolist()
+        if len(listed) > most_files:
+            raise ValueError("too many files")
+        if any(not _is_safe(i.filename) or stat.S_ISLNK(i.external_attr >> 16) for i in listed):
+            raise ValueError("an unsafe path")
+        wanted = [i for i in listed if not i.is_dir() and i.filename.lower().endswith(suffixes)]
+        if sum(i.file_size for i in wanted) > most_bytes:
+            raise ValueError("over the extraction limit")
+        for info in wanted:
+            with opened.open(info) as member:
+                content = member.read(left + 1)
+            if len(content) > left:
+                raise ValueError("over the extraction limit")
+            left -= len(content)
+            found.append((info.filename, len(content), content))
+    return found
+
+
+def unpacked(archives: DataFrame, most_files: int, most_bytes: int, suffixes: tuple[str, ...]) -> DataFrame:
+    """archive, member, size, content of allowed members of (archive, zip), or one row with the error of an archive that breaks a rule.
+
+    All members count towards the number of files, allowed suffixes towards the bytes; other members
+    are left out in silence. A task holds one archive and at most ``most_bytes`` of its contents.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in UNPACKED.split(", ")]
+        for batch in batches:
+            for archive, data in zip(batch["archive"], batch["zip"], strict=True):
+                try:
+                    rows = [(archive, *m, None) for m in _members(bytes(data), most_files, most_bytes, suffixes)]
+                except ValueError as broken:
+                    rows = [(archive, None, 0, None, str(broken))]
+                except (zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError, RuntimeError, TypeError):
+                    rows = [(archive, None, 0, None, "not a valid archive")]
+                yield pd.DataFrame(rows, columns=names)
+
+    return archives.select("archive", "zip").mapInPandas(run, UNPACKED)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import PROMPTS, format_block, strip
+from quirelake.operators.tables import otsl_to_html
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -50,6 +51,17 @@ def formatted(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("content", format_block(F.col("label"), F.col("raw"), F.col("label").isin(*PROMPTS), F.lit(""), F.lit("")))
 
 
+def formatted_whole(blocks: DataFrame, doc_name: Column, table_html: bool = True) -> DataFrame:
+    """Adds content by label: tables as HTML (or as they came) and pictures by their number in the document.
+
+    Only tables go through Python. blocks has doc_id, page_idx, block_idx, label and raw.
+    """
+    numbered = blocks.withColumn("picture", F.when(F.col("label") == "Picture", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("page_idx", "block_idx")) - 1))
+    table = otsl_to_html(F.when(F.col("label") == "Table", strip(F.col("raw")))) if table_html else strip(F.col("raw"))
+    content = format_block(F.col("label"), F.col("raw"), F.col("label").isin(*PROMPTS), table, picture_name(doc_name, F.col("picture")))
+    return numbered.withColumn("content", content).drop("picture")
+
+
 def markdown(blocks: DataFrame, order: list[str], keep_header_footer: bool = False) -> DataFrame:
     """doc_id, n_blocks, markdown from formatted blocks: ordered, trimmed, empties left out."""
     shown = blocks if keep_header_footer else blocks.where(~F.col("label").isin("Page-header", "Page-footer"))

@@ -6,15 +6,16 @@ sets, 0.6 on average between all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.operators.tables import html_to_otsl
 
 
-def _similarity(a, b):
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    common, total = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+def _similarity(x, y):
+    """Of two arrays without repeats."""
+    common = F.size(F.array_intersect(x, y))
+    total = F.size(x) + F.size(y) - common
     return F.when(total > 0, common / total).otherwise(F.lit(1.0))
 
 
@@ -22,14 +23,17 @@ def agreed(blocks: DataFrame, least: float = 0.6) -> DataFrame:
     """page_id, block_idx, agreement, chosen for blocks of pages all of whose blocks agree.
 
     blocks: page_id, block_idx, p1, p2, p3. The prediction closest to the other two is chosen, the
-    first of equals.
+    first of equals. Blocks are scored once and meet their page's least score in one shuffle.
     """
-    s12, s13, s23 = _similarity("p1", "p2"), _similarity("p1", "p3"), _similarity("p2", "p3")
-    scored = blocks.withColumns({"m1": (s12 + s13) / 2, "m2": (s12 + s23) / 2, "m3": (s13 + s23) / 2, "agreement": (s12 + s13 + s23) / 3})
-    best = F.greatest("m1", "m2", "m3")
-    chosen = F.when(F.col("m1") == best, F.col("p1")).when(F.col("m2") == best, F.col("p2")).otherwise(F.col("p3"))
-    bad = scored.where(F.col("agreement") < least).select("page_id").distinct()
-    return scored.join(bad, "page_id", "left_anti").select("page_id", "block_idx", "agreement", chosen.alias("chosen"))
+    words = {f"w{k}": F.array_distinct(F.split(f"p{k}", " ")) for k in (1, 2, 3)}
+    pairs = {f"s{a}{b}": _similarity(F.col(f"w{a}"), F.col(f"w{b}")) for a, b in ((1, 2), (1, 3), (2, 3))}
+    scored = blocks.withColumns(words).withColumns(pairs).drop(*words)
+    s12, s13, s23 = F.col("s12"), F.col("s13"), F.col("s23")
+    m1, m2, m3 = (s12 + s13) / 2, (s12 + s23) / 2, (s13 + s23) / 2
+    best = F.greatest(m1, m2, m3)
+    chosen = F.when(m1 == best, F.col("p1")).when(m2 == best, F.col("p2")).otherwise(F.col("p3"))
+    closest = scored.select("page_id", "block_idx", ((s12 + s13 + s23) / 3).alias("agreement"), chosen.alias("chosen"))
+    return closest.withColumn("worst", F.min("agreement").over(Window.partitionBy("page_id"))).where(F.col("worst") >= least).drop("worst")
 
 
 def chat_records(turns: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.functions.geometry import box_to_pixels
+from quirelake.functions.text import strip
+
 ITEMS = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x1", "y1", "x2", "y2")] + [T.StructField(n, T.StringType()) for n in ("label", "content")]))
 
 
@@ -39,15 +42,26 @@ def list_candidates(text: str) -> list[str]:
 
 
 def dict_candidates(text: str) -> list[str]:
-    """Balanced dicts, then what every brace opens, closed where it ends too early."""
+    """Balanced dicts, then what every brace opens, closed where it ends too early.
+
+    One pass over the text matches braces; a brace without its match takes the rest of the text and
+    as many closing ones as that lacks.
+    """
+    ends: dict[int, int] = {}
+    waiting: list[int] = []
+    for at, c in enumerate(text):
+        if c == "{":
+            waiting.append(at)
+        elif c == "}" and waiting:
+            ends[waiting.pop()] = at + 1
     found = [text[a:b] for a, b in outermost(text, "{", "}")[0]]
+    missing = len(waiting)
     for at in (k for k, c in enumerate(text) if c == "{"):
-        spans, _ = outermost(text[at:], "{", "}")
-        if spans and spans[0][0] == 0:
-            found.append(text[at : at + spans[0][1]])
-        else:
-            tail = text[at:]
-            found.append(tail + "}" * (tail.count("{") - tail.count("}")))
+        if at in ends:
+            found.append(text[at : ends[at]])
+        else:  # those that stay open behind it, and itself
+            found.append(text[at:] + "}" * missing)
+            missing -= 1
     return list(dict.fromkeys(found))
 
 
@@ -100,3 +114,11 @@ def tolerant_items(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def finite(items: Column) -> Column:
     """Items whose box has four finite numbers; others would fail when mapped to pixels."""
     return F.filter(items, lambda i: ~(F.isnan(i["x1"] + i["y1"] + i["x2"] + i["y2"]) | (F.abs(i["x1"] + i["y1"] + i["x2"] + i["y2"]) == math.inf)))
+
+
+def page_items(raw: Column, width: Column, height: Column) -> Column:
+    """Items of whole-page output: bbox in pixels, label, stripped content, in the order of the output."""
+    found = finite(tolerant_items(raw))
+    return F.transform(
+        found, lambda i: F.struct(box_to_pixels(i["x1"], i["y1"], i["x2"], i["y2"], width, height).alias("bbox"), i["label"].alias("label"), strip(F.coalesce(i["content"], F.lit(""))).alias("content"))
+    )

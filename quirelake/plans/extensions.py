@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.plans.parity import read
+from quirelake.session import shared_dir
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +90,126 @@ select o_orderpriority, count(*) filter (o_orderstatus = 'F') as f, count(*) fil
 """)
 def ext_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*(F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in ("F", "O", "P")))
+
+
+@query("""
+select c_mktsegment, count(distinct c_nationkey) as nations, round(quantile_cont(c_acctbal, 0.5), 6) as median, round(quantile_cont(c_acctbal, 0.9), 6) as p90 from customer group by c_mktsegment
+""")
+def ext_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "customer").groupBy("c_mktsegment")
+    return own.agg(F.countDistinct("c_nationkey").alias("nations"), F.round(F.percentile("c_acctbal", 0.5), 6).alias("median"), F.round(F.percentile("c_acctbal", 0.9), 6).alias("p90"))
+
+
+@query("""
+select o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority)::bigint as level, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)
+""")
+def ext_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+select l_orderkey, l_linenumber, rank() over w as r, dense_rank() over (partition by l_orderkey order by l_returnflag) as d, ntile(3) over w as t, lag(l_partkey) over w as before, lead(l_partkey, 2) over w as after,
+  first_value(l_partkey) over w as first, last_value(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between unbounded preceding and unbounded following) as last, nth_value(l_partkey, 2) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between unbounded preceding and unbounded following) as second,
+  round(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between 1 preceding and 1 following), 4) as near, count(*) over (partition by l_orderkey order by l_quantity range between 5 preceding and 5 following) as alike
+from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)
+""")
+def ext_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("l_orderkey")
+    own = by.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c = F.col("l_partkey")
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.rank().over(own).alias("r"), F.dense_rank().over(by.orderBy("l_returnflag")).alias("d"), F.ntile(3).over(own).alias("t"), F.lag(c).over(own).alias("before"), F.lead(c, 2).over(own).alias("after"),
+        F.first(c).over(own).alias("first"), F.last(c).over(whole).alias("last"), F.nth_value(c, 2).over(whole).alias("second"), F.round(F.sum("l_quantity").over(own.rowsBetween(-1, 1)), 4).alias("near"),
+        F.count(F.lit(1)).over(by.orderBy("l_quantity").rangeBetween(-5, 5)).alias("alike"),
+    )
+
+
+@query("""
+select p.event_id, count(v.event_id) as n_views from (select * from events where event_type = 'purchase') p left join (select * from events where event_type = 'view') v on v.user_id = p.user_id and v.ts between p.ts - interval 6 hour and p.ts group by p.event_id
+""")
+def ext_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of a user within six hours before a purchase; time slots make the range join an equi join."""
+    e = read(spark, sf_dir, "events").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    width = 6 * 3600
+    p = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("p_ts"), F.explode(F.array(F.floor(F.col("at") / width), F.floor(F.col("at") / width) - 1)).alias("slot"))
+    v = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("v_ts"), F.floor(F.col("at") / width).alias("slot"))
+    near = (F.col("v_ts") <= F.col("p_ts")) & (F.col("v_ts") >= F.col("p_ts") - F.expr("interval 6 hours"))
+    return p.join(v, ["user_id", "slot"], "left").groupBy("event_id").agg(F.count_if(near).alias("n_views"))
+
+
+@query("select o_custkey from orders where o_orderstatus = 'F' intersect all select o_custkey from orders where o_orderstatus = 'O'")
+def ext_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = lambda s: read(spark, sf_dir, "orders").where(F.col("o_orderstatus") == s).select("o_custkey")
+    return by("F").intersectAll(by("O"))
+
+
+@query("select format, s_suppkey, s_name, s_acctbal from supplier, (select unnest(['csv', 'json', 'orc', 'parquet']) as format)")
+def ext_file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written to and read from every file format."""
+    own, found = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), None
+    for kind in ("csv", "json", "orc", "parquet"):
+        folder = f"{shared_dir(spark)}/format-{uuid.uuid4().hex}"
+        own.write.format(kind).save(folder)
+        back = spark.read.schema(own.schema).format(kind).load(folder).withColumn("format", F.lit(kind))
+        found = back if found is None else found.unionByName(back)
+    return found
+
+
+@query("""
+with w as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as word from documents)
+select doc_id, count(*) as n_words, max(length(word)) as longest, round(exp(avg(ln(length(word)))), 6) as typical from w group by doc_id
+""")
+def ext_python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function and an aggregate function of one's own, on Arrow batches."""
+    word = re.compile("[A-Za-z]+")
+
+    @F.udtf(returnType="word string, n int")
+    class Words:
+        def eval(self, text: str) -> Iterator[tuple[str, int]]:
+            for w in word.findall(text or ""):
+                yield w, len(w)
+
+    @F.pandas_udf("double")
+    def geometric_mean(n: pd.Series) -> float:
+        return math.exp(sum(map(math.log, n)) / len(n))
+
+    spark.udtf.register("quirelake_words", Words)
+    read(spark, sf_dir, "documents").createOrReplaceTempView("quirelake_documents")
+    words = spark.sql("select doc_id, word, n from quirelake_documents, lateral quirelake_words(text)")
+    return words.groupBy("doc_id").agg(F.round(geometric_mean("n"), 6).alias("typical")).join(words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max("n").cast("long").alias("longest")), "doc_id")
+
+
+@query("""
+select o_orderpriority, strftime(o_orderdate, '%Y-%m') as month, count(*) as n, sum(datediff('day', o_orderdate::date, date '2000-01-01'))::bigint as days, max(strftime(o_orderdate, '%Y%m%d_%H%M%S')) as run_id from orders group by all
+""")
+def ext_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    return own.groupBy("o_orderpriority", "month").agg(F.count(F.lit(1)).alias("n"), F.sum(F.datediff(F.lit("2000-01-01").cast("date"), F.col("o_orderdate").cast("date"))).cast("long").alias("days"), F.max(F.date_format("o_orderdate", "yyyyMMdd_HHmmss")).alias("run_id"))
+
+
+@query("""
+select event_type, count(json_extract(props, '$.k')) as n_k, sum(json_extract(props, '$.k')::bigint)::bigint as sum_k, count(*) filter (json_extract(props, '$.k')::bigint % 2 = 0) as n_even from events group by event_type
+""")
+def ext_json_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,long>"))
+    k = F.try_element_at("m", F.lit("k"))
+    return own.groupBy("event_type").agg(F.count(F.get_json_object("props", "$.k")).alias("n_k"), F.sum(k).alias("sum_k"), F.count_if(k % 2 == 0).alias("n_even"))
+
+
+@query("""
+with e as (select distinct event_id, ts, event_type from events),
+w as (select date_trunc('hour', ts) as hour, event_type, count(*) as n from e group by all)
+select hour, event_type, n from w where hour + interval 1 hour <= (select max(ts) - interval 10 minute from events)
+""")
+def ext_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream in which every event comes twice; an hour comes out when the watermark has passed it."""
+    path = f"{sf_dir}/events.parquet"
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    once = twice.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
+    counted = once.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+    running = counted.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema("hour timestamp_ntz, event_type string, n long").parquet(f"{folder}/out")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import geometry, text
 from quirelake.operators import blocks, curation, jobs, layout, retry, tables
+from quirelake.session import shared_dir
 from quirelake.sources import files
 from quirelake.streaming import completion
 
@@ -93,7 +94,7 @@ _REPEATED = "len(list_filter(range(1, 251), lambda k: length({t}) >= (5 + 12 //
 
 
 @query(f"""
-with t as (select doc_id, case when doc_id % 4 = 0 then left(text, 200) || repeat(substr(text, 1 + doc_id % 7, 1 + doc_id % 20), 5 + doc_id % 9) when doc_id % 4 = 1 then left(text, 100) || repeat('ab', 20) || substr(text, 1, 50) else left(text, 300) end as t from documents),
+with t as (select doc_id, case when doc_id % 4 = 0 then text || repeat(substr(text, 1 + doc_id % 7, 1 + doc_id % 20), 5 + doc_id % 9) when doc_id % 4 = 1 then text || repeat('ab', 20) || substr(text, 1, 50) else text end as t from documents),
 s as (select doc_id, t, case when length(t) > 50 then left(t, length(t) - 50) else '' end as u from t)
 select doc_id, {_REPEATED.format(t='t')} as whole, {_REPEATED.format(t='t')} or (length(t) > 50 and {_REPEATED.format(t='u')}) as repetitive from s
 """)
@@ -281,7 +282,7 @@ def retry_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select doc_id, cast(unnest(range(0, 1 + doc_id % 3)) as int) as page_idx, text from documents),
+with p as (select doc_id, cast(unnest(range(0, greatest(1, (length(coalesce(text, '')) + 39) // 40))) as int) as page_idx, coalesce(text, '') as text from documents),
 o as (select doc_id, page_idx, regexp_replace(substr(text, 1 + page_idx * 40, 40), '^\\s+|\\s+$', '', 'g') as raw from p),
 a as (select doc_id, count(*) as n, string_agg('## Page ' || (page_idx + 1) || chr(10) || chr(10) || raw, chr(10) || chr(10) order by page_idx) as many, min(raw) as one from o group by doc_id),
 m as (select doc_id, case when n = 1 then one else regexp_replace(many, '^\\s+|\\s+$', '', 'g') end as t from a)
@@ -398,27 +399,25 @@ def agreement_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with v as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding) as x from embeddings), c as (select vec_id, x, i % 4 as ch, i // 4 as q from v)
-select vec_id, cast((q // 8) * 2 + (q // 2) % 2 as int) as "row", cast(((q // 4) % 2) * 2 + q % 2 as int) as col, cast(ch as int) as channel, round(x::double, 5) + 0.0 as x from c where (q // 8) < 2
+select vec_id, cast((q // 8) * 2 + (q // 2) % 2 as int) as "row", cast(((q // 4) % 2) * 2 + q % 2 as int) as col, cast(ch as int) as channel, round(x::double, 5) + 0.0 as x from c
 """)
 def feature_map_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors read as a 2 x 2 grid of 2 x 2 cells with 4 channels, put in image order."""
     flat = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     at = geometry.grid_position(F.col("i"), w=2, m1=2, m2=2, channels=4)
-    return flat.where("i < 64").select("vec_id", at.alias("g"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x")).select("vec_id", "g.row", "g.col", "g.channel", "x")
+    return flat.select("vec_id", at.alias("g"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x")).select("vec_id", "g.row", "g.col", "g.channel", "x")
 
 
 @query("select doc_id, cast(1 + n_chars // 3000 as bigint) as pages, cast(n_chars as bigint) as characters from documents where n_chars > 0")
 def stream_doc_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of documents as a stream; each document comes out once, when its last page is in."""
-    import tempfile
     import uuid
 
     docs = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/documents.parquet*")
     n = F.col("n_chars")
     pages = docs.where("n_chars > 0").select("doc_id", (1 + F.floor(n / 3000)).cast("long").alias("page_count"), "n_chars", F.explode(F.sequence(F.lit(0), F.floor(n / 3000).cast("int"))).alias("p"))
-    sized = pages.select("doc_id", "page_count", F.when(F.col("p") < F.col("page_count") - 1, F.lit(3000)).otherwise(n - 3000 * (F.col("page_count") - 1)).cast("long").alias("characters"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quirelake-')}"
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sized = pages.select("doc_id", F.col("p").alias("page"), "page_count", F.when(F.col("p") < F.col("page_count") - 1, F.lit(3000)).otherwise(n - 3000 * (F.col("page_count") - 1)).cast("long").alias("characters"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     running = completion.completed(sized).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(completion.OUTPUT).parquet(f"{folder}/out")
@@ -438,19 +437,25 @@ def pages_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select source as archive, 'docs/' || doc_id || '.md' as member, strlen(text) as size, sha256(text) as sha from documents where doc_id % 10 <> 3
-union all select source, 'images/' || doc_id || '.jpg', 4, sha256('jpeg') from documents where doc_id % 25 = 0
+with m as (select source || '/' || doc_id % 40 as archive, doc_id, text from documents),
+f as (select archive, 'docs/' || doc_id || '.md' as member, strlen(coalesce(text, '')) as size, sha256(coalesce(text, '')) as sha from m where doc_id % 10 <> 3
+  union all select archive, 'images/' || doc_id || '.jpg', 4, sha256('jpeg') from m where doc_id % 25 = 0),
+a as (select archive, count(*) + count(*) filter (doc_id % 25 = 0) as files from m group by archive),
+t as (select archive, files, coalesce((select sum(size) from f where f.archive = a.archive), 0) as bytes from a)
+select f.archive, member, size::bigint as size, sha, null as error from f join t using (archive) where files <= 12 and bytes <= 20000
+union all select archive, null, 0, null, case when files > 12 then 'too many files' else 'over the extraction limit' end from t where files > 12 or bytes > 20000
 """)
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed into one archive per source and unpacked again under limits; some suffixes are left out."""
+    """Documents packed into archives and unpacked again under limits that some break; some suffixes are left out."""
     from quirelake.operators import archives
 
-    docs = read(spark, sf_dir, "documents")
-    name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 10 == 3, ".exe").otherwise(".md"))
-    own = docs.select(F.col("source").alias("archive"), name.alias("member"), F.col("text").cast("binary").alias("content"))
-    pictures = docs.where("doc_id % 25 = 0").select(F.col("source").alias("archive"), F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("member"), F.lit("jpeg").cast("binary").alias("content"))
-    back = archives.checked(archives.entries(archives.pack(own.unionByName(pictures))), 10**6, 1 << 40, (".md", ".jpg"))
-    return back.where("error is null").select("archive", "member", "size", F.sha2("content", 256).alias("sha"))
+    i = F.col("doc_id").cast("string")
+    docs = read(spark, sf_dir, "documents").withColumn("archive", F.concat("source", F.lit("/"), (F.col("doc_id") % 40).cast("string")))
+    name = F.concat(F.lit("docs/"), i, F.when(F.col("doc_id") % 10 == 3, ".exe").otherwise(".md"))
+    own = docs.select("archive", name.alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    pictures = docs.where("doc_id % 25 = 0").select("archive", F.concat(F.lit("images/"), i, F.lit(".jpg")).alias("member"), F.lit("jpeg").cast("binary").alias("content"))
+    back = archives.unpacked(archives.pack(own.unionByName(pictures)), 12, 20_000, (".md", ".jpg"))
+    return back.select("archive", "member", "size", F.sha2("content", 256).alias("sha"), "error")
 
 
 @query("""
@@ -476,7 +481,7 @@ def asset_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with p as (select p_partkey, 4 + 2 * (p_size % 3) as h, 6 + 2 * (p_size % 5) as w from part),
 i as (select p_partkey, h, w, unnest(range(0, h * w)) as k from p)
-select p_partkey, cast(k as int) as patch, cast((k // 4) // (w // 2) * 2 + (k % 4) // 2 as int) as "row", cast((k // 4) % (w // 2) * 2 + k % 2 as int) as col from i where p_partkey <= 50
+select p_partkey, cast(k as int) as patch, cast((k // 4) // (w // 2) * 2 + (k % 4) // 2 as int) as "row", cast((k // 4) % (w // 2) * 2 + k % 2 as int) as col from i
 """)
 def patch_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row and column of image patches walked by merge windows."""

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import extensions, parity
+from quirelake.plans import extensions, parity, service
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    return parity.QUERIES | extensions.QUERIES
+    return parity.QUERIES | service.QUERIES | extensions.QUERIES
 
 
 def all_oracles() -> dict[str, str]:
-    return parity.ORACLES | extensions.ORACLES
+    return parity.ORACLES | service.ORACLES | extensions.ORACLES

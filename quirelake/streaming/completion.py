@@ -9,20 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "doc_id long, pages long, characters long"
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, characters, done = state.get if state.exists else (0, 0, False)
+#: Pages that have arrived (a bit each, in hexadecimal) and their characters.
+STATE = "pages string, characters long"
+#: How long an unfinished document, or a page that came again after its document was done, is remembered.
+FORGET_AFTER = 6 * 3600 * 1000
+
+
+def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counts every page once; a finished document leaves no state."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    held, characters = state.get if state.exists else ("0", 0)
+    seen, expected = int(held, 16), 0
     for frame in frames:
-        seen += len(frame)
-        characters += int(frame["characters"].sum())
-        expected = int(frame["page_count"].iloc[0])
-        if not done and seen >= expected:
-            done = True
-            yield pd.DataFrame({"doc_id": [key[0]], "pages": [seen], "characters": [characters]})
-    state.update((seen, characters, done))
+        expected = max(expected, int(frame["page_count"].max()))
+        for page, n in zip(frame["page"].tolist(), frame["characters"].tolist(), strict=True):
+            if not seen >> page & 1:
+                seen |= 1 << page
+                characters += int(n)
+    if seen.bit_count() >= expected:
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"doc_id": [key[0]], "pages": [seen.bit_count()], "characters": [characters]})
+    else:
+        state.update((f"{seen:x}", characters))
+        state.setTimeoutDuration(FORGET_AFTER)
 
 
 def completed(pages: DataFrame) -> DataFrame:
-    """doc_id, pages, characters once per document, from a stream of (doc_id, page_count, characters)."""
-    return pages.groupBy("doc_id").applyInPandasWithState(_step, OUTPUT, "seen long, characters long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    """doc_id, pages, characters of every document, from a stream of (doc_id, page, page_count, characters).
+
+    ``page`` counts from 0; a page that comes twice counts once. State is kept for unfinished
+    documents alone, and for ``FORGET_AFTER`` milliseconds at most after their last page.
+    """
+    return pages.groupBy("doc_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

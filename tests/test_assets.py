@@ -17,12 +17,12 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("markdown", "asset", "found"),
     [
-        ("markdowns/document.md", "../images/page.jpg", "images/page.jpg"), ("markdowns/document.md", "./local.png", "markdowns/local.png"), ("document.md", "https://example.test/a.png", None),
-        ("document.md", "/images/page.jpg", None), ("document.md", "../images/page.jpg", None), ("document.md", "images/missing.jpg", None), ("document.md", "", None), ("a/b/c.md", "../../images//page.jpg#x", "images/page.jpg"),
+        ("texts/one.md", "../pics/p1.jpg", "pics/p1.jpg"), ("texts/one.md", "./near.png", "texts/near.png"), ("one.md", "ftp://other.example/p1.jpg", None),
+        ("one.md", "/pics/p1.jpg", None), ("one.md", "../pics/p1.jpg", None), ("one.md", "pics/p2.jpg", None), ("one.md", "", None), ("a/b/c.md", "../../pics//p1.jpg?x", "pics/p1.jpg"),
     ],
 )
 def test_resolve_asset(spark, markdown, asset, found):
-    files = F.array(F.lit("images/page.jpg"), F.lit("markdowns/local.png"))
+    files = F.array(F.lit("pics/p1.jpg"), F.lit("texts/near.png"))
     assert one(spark, assets.resolve_asset(F.col("m"), F.col("a"), files), m=markdown, a=asset) == found
 
 
@@ -59,18 +59,30 @@ def zipped(*members):
     return held.getvalue()
 
 
+def lying(name, content, claimed):
+    """An archive whose listing claims fewer bytes than its member has."""
+    data = bytearray(zipped((name, content)))
+    for mark, at in ((b"PK\x01\x02", 24), (b"PK\x03\x04", 22)):
+        k = data.index(mark)
+        data[k + at : k + at + 4] = claimed.to_bytes(4, "little")
+    return bytes(data)
+
+
 def test_archive_rules(spark):
-    link = zipfile.ZipInfo("docs/link.md")
+    link = zipfile.ZipInfo("notes/way.txt")
     link.external_attr = 0o120777 << 16
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
-        z.writestr(link, "target")
+        z.writestr(link, "elsewhere")
     rows = [
-        ("fine", zipped(("docs/a.md", "abc"), ("private/source.pdf", "x" * 50))), ("parent", zipped(("../escape.md", "x"))), ("rooted", zipped(("/absolute.md", "x"))),
-        ("inside", zipped(("safe/../../escape.md", "x"))), ("large", zipped(("docs/a.md", "12345678901"))), ("many", zipped(*((f"{k}.md", "") for k in range(4)))), ("link", held.getvalue()), ("broken", b"no zip"),
+        ("fine", zipped(("notes/x.txt", "abcde"), ("notes/raw.bin", "x" * 99))), ("up", zipped(("../out.txt", "x"))), ("rooted", zipped(("/root/out.txt", "x"))), ("drive", zipped(("D:/x.txt", "x"))),
+        ("inside", zipped(("a/../../b.txt", "x"))), ("large", zipped(("notes/x.txt", "1234567"), ("notes/y.txt", "12345678"))), ("many", zipped(*((f"{k}.txt", "") for k in range(6)))), ("link", held.getvalue()),
+        ("broken", b"no zip"), ("lying", lying("notes/x.txt", "y" * 40, 3)), ("null", None),
     ]
-    got = archives.checked(archives.entries(spark.createDataFrame(rows, "archive string, zip binary")), 3, 10, (".md",)).collect()
-    assert {(r.archive, r.member, r.error) for r in got} == {
-        ("fine", "docs/a.md", None), ("parent", None, "an unsafe path"), ("rooted", None, "an unsafe path"), ("inside", None, "an unsafe path"), ("large", None, "over the extraction limit"),
-        ("many", None, "too many files"), ("link", None, "an unsafe path"), ("broken", None, "not a valid archive"),
+    got = archives.unpacked(spark.createDataFrame(rows, "archive string, zip binary"), 5, 14, (".txt",)).collect()
+    assert {(r.archive, r.member, r.error) for r in got if r.archive != "lying"} == {
+        ("fine", "notes/x.txt", None), ("up", None, "an unsafe path"), ("rooted", None, "an unsafe path"), ("drive", None, "an unsafe path"), ("inside", None, "an unsafe path"),
+        ("large", None, "over the extraction limit"), ("many", None, "too many files"), ("link", None, "an unsafe path"), ("broken", None, "not a valid archive"), ("null", None, "not a valid archive"),
     }
+    (lie,) = [r for r in got if r.archive == "lying"]
+    assert lie.error is not None and lie.content is None
