@@ -1,13 +1,14 @@
 """Benchmark decontamination by a positional inverted index (operator 9).
 
-Every run of ``width`` words of a benchmark item is a window. Each window is looked up by its
-rarest term over the whole corpus: only such terms have postings. A posting holds document,
-position and the words around it, so the position lists of a window's other terms, shifted by
-their offsets, are intersected in place and in order of rarity. What agrees everywhere is a
-phrase match; where most distinct terms lie within the same stretch it is a proximity match.
+Every run of ``width`` words of a benchmark item is a window. Terms are counted over the whole
+corpus, and every window is looked up by its rarest term: these terms have postings, which are
+stored once. A posting holds document, position and the words around it, so the position lists of
+a window's other terms, shifted by their offsets, are intersected in place and in order of rarity.
+What agrees everywhere is a phrase match; where most distinct terms lie within the same stretch it
+is a proximity match.
 
-Windows are taken in blocks of a fixed number, so what is broadcast or put into a plan has a
-bound that doesn't depend on the data. Only DataFrame functions are used.
+What is broadcast or put into a plan has a checked size that doesn't depend on the corpus; a
+benchmark beyond it goes through joins. Only DataFrame functions are used.
 
 Cases: null and empty texts have no words and are never hit; equal ids are told apart by their
 texts, and rows equal in both get equal results; null item ids are found but not listed; an
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from quirelake.llm.common import materialize
 
 WIDTH = 10
-#: Windows (and so rarest terms) looked up by one pass over the postings.
+#: Rarest terms that are looked for within each text's array of words, and windows that are broadcast, at most.
 BLOCK = 50_000
 #: Benchmark terms up to which the vocabulary is broadcast for counting.
 MOST_TERMS = 200_000
@@ -63,41 +64,45 @@ def anchored(distinct: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.select("window_id", "terms", F.col("by")[0]["term"].alias("anchor"), F.col("by")[0]["offset"].alias("at"), F.col("by.offset").alias("order"), F.array_distinct("terms").alias("own"))
 
 
-def matches(keyed: DataFrame, benchmark: DataFrame, width: int = WIDTH, near_share: float = 0.8, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def matches(keyed: DataFrame, benchmark: DataFrame, width: int = WIDTH, near_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(occurrences, window items): doc_key, window_id, start, length, phrase (else proximity); window_id, item_id.
 
     ``keyed`` has doc_key and text. A proximity match has ``near_share`` of the window's distinct
     terms within ``width`` - 1 words of its rarest one.
     """
-    spark = keyed.sparkSession
     listed = windows(benchmark, width).withColumn("window_id", F.xxhash64("terms"))
     items = materialize(listed.select("window_id", "terms", "item_id"), "window-items")
     distinct = items.groupBy("window_id").agg(F.first("terms").alias("terms"))
     vocabulary = materialize(distinct.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     counts = materialize(term_counts(keyed, vocabulary), "term-counts")
     ready = materialize(anchored(distinct, counts).where(F.col("anchor").isNotNull()), "windows")
-    blocks = -(-ready.count() // block)
-    found = None
-    for b in range(blocks):
-        own = ready.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b)
-        anchors = [r["anchor"] for r in own.select("anchor").distinct().collect()]  # at most about ``block`` terms
-        if not anchors:
-            continue
-        w = F.col("w")
-        around = F.transform(
-            w, lambda term, i: F.when(term.isin(anchors), F.struct(i.alias("pos"), term.alias("anchor"), F.greatest(i - (width - 1), F.lit(0)).alias("left"), F.slice(w, F.greatest(i - (width - 1), F.lit(0)) + 1, 2 * width - 1).alias("near")))
-        )
-        postings = keyed.select("doc_key", words(F.col("text")).alias("w")).select("doc_key", F.explode(F.filter(around, lambda p: p.isNotNull())).alias("p")).select("doc_key", "p.*")
-        start = F.col("pos") - F.col("at")
-        agrees = F.forall("order", lambda o: F.get(F.col("near"), start - F.col("left") + o) == F.get(F.col("terms"), o))
-        close = F.size(F.array_intersect("own", "near")) >= F.ceil(F.size("own") * F.lit(near_share))
-        # ``own`` has about ``block`` rows of at most ``width`` terms: a bound set by a parameter.
-        looked_up = postings.join(F.broadcast(own), "anchor").select("doc_key", "window_id", start.cast("long").alias("start"), F.size("terms").alias("length"), F.coalesce((start >= 0) & agrees, F.lit(False)).alias("phrase"), close.alias("close"))
-        hits = looked_up.where(F.col("phrase") | F.col("close")).drop("close")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], "doc_key long, window_id long, start long, length int, phrase boolean")
-    return found, items.select("window_id", "item_id").distinct()
+    index = postings(keyed, ready.select("anchor").distinct(), width)
+    start = F.col("pos") - F.col("at")
+    agrees = F.forall("order", lambda o: F.get(F.col("near"), start - F.col("left") + o) == F.get(F.col("terms"), o))
+    close = F.size(F.array_intersect("own", "near")) >= F.ceil(F.size("own") * F.lit(near_share))
+    # A checked number of windows of at most ``width`` terms goes to the postings; more meet them in a join that can be split.
+    sent = F.broadcast(ready) if ready.count() <= BLOCK else ready.hint("merge")
+    looked_up = index.join(sent, "anchor").select("doc_key", "window_id", start.cast("long").alias("start"), F.size("terms").alias("length"), F.coalesce((start >= 0) & agrees, F.lit(False)).alias("phrase"), close.alias("close"))
+    return looked_up.where(F.col("phrase") | F.col("close")).drop("close"), items.select("window_id", "item_id").distinct()
+
+
+def postings(keyed: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
+    """anchor, doc_key, pos, left, near: the stored index of the terms by which windows are looked up, in one pass over the corpus.
+
+    near holds the words from position left on, ``width`` - 1 on either side of the term.
+    """
+    w = F.col("w")
+    kept = F.greatest(F.col("pos") - (width - 1), F.lit(0))
+    texts = keyed.select("doc_key", words(F.col("text")).alias("w"))
+    few = [r["anchor"] for r in anchors.limit(BLOCK + 1).collect()]  # a fixed number of terms at most
+    if len(few) <= BLOCK:
+        spots = F.filter(F.transform(w, lambda term, i: F.when(term.isin(few), F.struct(i.alias("pos"), term.alias("anchor")))), lambda p: p.isNotNull())
+        found = texts.select("doc_key", "w", F.explode(spots).alias("p")).select("doc_key", "w", "p.*") if few else texts.select("doc_key", "w", F.lit(0).alias("pos"), F.lit("").alias("anchor")).where("false")
+    else:
+        many = F.broadcast(anchors) if anchors.count() <= MOST_TERMS else anchors.hint("merge")
+        found = texts.select("doc_key", "w", F.posexplode("w").alias("pos", "anchor")).join(many, "anchor", "left_semi")
+    stored = found.select("anchor", "doc_key", "pos", kept.alias("left"), F.slice(w, kept + 1, 2 * width - 1).alias("near"))
+    return materialize(stored, "postings")
 
 
 def with_key(docs: DataFrame) -> DataFrame:

@@ -174,7 +174,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.nda
         first, stop = first[which] + nth * shape.longest, np.minimum(stop[which], first[which] + (nth + 1) * shape.longest)
         number = stop - first
     own = owner[first]
-    return own, first - borders[own], number, least[first].view(np.int64), rolling.of(first, stop + w - 1).view(np.int64)
+    code = rolling.of(first, stop + w - 1)
+    if shape.symbols == "words":  # words are few against bytes: two independent polynomials, so that no pattern of words cancels out
+        code = mix(code ^ mix(Rolling(shape.of(data, offsets, _BASE2)[0], _BASE2).of(first, stop + w - 1) + np.uint64(1)))
+    return own, first - borders[own], number, least[first].view(np.int64), code.view(np.int64)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -74,29 +74,27 @@ def walk(counts: dict[int, int], order: Sequence[Sequence[int]], room: list[int]
 
 
 def bounded_ring(docs: DataFrame, key: Column, shards: int = 8, epsilon: float = 0.0, vnodes: int = VNODES, cells: int = CELLS, order_by: Sequence[Column] = ()) -> DataFrame:
-    """``docs`` plus home_shard, shard (int) and slot (long, gapless from 0 in each shard).
+    """row (all columns of ``docs``), home_shard, shard (int) and slot (long, gapless from 0 in each shard).
 
     ``epsilon`` is the slack of the bounded load: a shard holds at most (1 + epsilon) times the
-    mean; 0 makes the counts at most one apart. The counting pass reads the key column alone.
+    mean; 0 makes the counts at most one apart. The counting pass reads the key column alone. A
+    cell's keys are ranked in one task each: ``cells`` is set so that a cell's share of the keys
+    fits, and keys that are all equal are ranked as one cell.
     """
-    taken = {"home_shard", "shard", "slot", "ring_spot", "ring_cell", "ring_rank", "rank_from", "rank_to", "first_slot"}.intersection(c.lower() for c in docs.columns)
-    if taken:
-        raise ValueError(f"rename these columns first: {sorted(taken)}")
     spark = docs.sparkSession
     spot = F.xxhash64(key)
     cell = F.pmod(spot, F.lit(cells)).cast("int")
     counts = {r["cell"]: r["n"] for r in docs.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = walk(counts, ring_points(shards, vnodes, cells), capacities(sum(counts.values()), shards, epsilon))
     # At most cells + cells * shards rows, set by the ring and never by the data: safe to broadcast.
-    plan = spark.createDataFrame(runs, "ring_cell int, rank_from long, rank_to long, home_shard int, shard int, first_slot long")
-    ranked = docs.withColumns({"ring_spot": spot, "ring_cell": cell}).withColumn(
-        "ring_rank", F.row_number().over(Window.partitionBy("ring_cell").orderBy("ring_spot", *order_by)).cast("long") - 1
-    )
+    plan = spark.createDataFrame(runs, "cell int, rank_from long, rank_to long, home_shard int, shard int, first_slot long")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), spot.alias("spot"), cell.alias("cell"), *(c.alias(f"order_{k}") for k, c in enumerate(order_by)))
+    own = Window.partitionBy("cell").orderBy("spot", *(f"order_{k}" for k in range(len(order_by))))
+    ranked = boxed.withColumn("rank", F.row_number().over(own).cast("long") - 1)
     return (
-        ranked.join(F.broadcast(plan), "ring_cell")
-        .where((F.col("ring_rank") >= F.col("rank_from")) & (F.col("ring_rank") < F.col("rank_to")))
-        .withColumn("slot", F.col("first_slot") + F.col("ring_rank") - F.col("rank_from"))
-        .drop("ring_spot", "ring_cell", "ring_rank", "rank_from", "rank_to", "first_slot")
+        ranked.join(F.broadcast(plan), "cell")
+        .where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+        .select("row", "home_shard", "shard", (F.col("first_slot") + F.col("rank") - F.col("rank_from")).alias("slot"))
     )
 
 
@@ -107,4 +105,4 @@ def op10_bounded_ring_sharding(spark, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = bounded_ring(sized, F.col("doc_id"), shards=8, order_by=[F.col("doc_id"), F.col("size"), F.col("text_crc32")])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+    return placed.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
