@@ -8,6 +8,13 @@ last return the columns of documents.
 3. near_duplicates: of each group of similar documents the one with the least id stays.
 4. decontamination: documents that hold a run of ten words of a benchmark item go.
 5. packing: what is left is packed into token sequences.
+
+Cases, for every stage: null, empty and very long texts pass like any other (a null or empty text is
+neither toxic nor similar nor contaminated, has no lines, and is packed as its end mark alone); null
+and repeated ids are told apart by their texts; of rows repeated as a whole near_duplicates keeps
+one if they have words; ties go to the smaller id, then to the smaller key of the row; an empty table gives an
+empty result; further columns, whatever their names, stay as they are up to packing, which returns
+its own. line_dedup changes text, and n_chars with it where there is such a column.
 """
 
 from __future__ import annotations
@@ -23,11 +30,13 @@ TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score stays below ``TOXIC``; the labels of a fifth of the documents are never read."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.fold() != 0)
     return toxicity.keep_below(docs, model, TOXIC)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of line runs; a text of which no line with a word is left goes."""
     cut = lines.remove_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     row = F.col("row")
     if "n_chars" in docs.columns:
@@ -36,6 +45,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the least id of every group of similar texts; texts without words stay."""
     found = materialize(jaccard.similarity_components(docs), "near-duplicates").where("n_shingles > 0")
     # Not by component_id: unlike texts under a null or repeated id may share it.
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.row_key")
@@ -47,12 +57,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no window of a benchmark item."""
     keyed = boxed(docs).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     found, _ = decontaminate.matches(keyed.select("doc_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return keyed.join(found.where("phrase").select("doc_key").distinct(), "doc_key", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a text, with its sequence and offset."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
