@@ -100,3 +100,24 @@ def answered(rows: DataFrame, endpoint: Endpoint, concurrency: int = 8, fail_fas
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{fields}, {ANSWER}")
+
+
+class Held:
+    """One backend per worker: kept while its settings stay the same, closed when others are asked for."""
+
+    def __init__(self):
+        self._key, self._backend = None, None
+
+    def get(self, settings: dict, make: Callable[[dict], object]):
+        key = json.dumps(settings, sort_keys=True, default=str)
+        if key != self._key:
+            if hasattr(self._backend, "close"):
+                self._backend.close()
+            self._key, self._backend = None, None
+            self._backend = make(settings)
+            self._key = key
+        return self._backend
+
+
+#: The worker's own.
+BACKEND = Held()

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,3 +162,61 @@ def loaded_size(width: Column, height: Column, least_pixels: int | None = None,
     dummy = F.struct(F.lit(DUMMY[0]).alias("width"), F.lit(DUMMY[1]).alias("height"))
     bad = lambda s: s["width"].isNull() | s["height"].isNull() | (shorter(s) <= 0) | (longer(s) > MOST_ASPECT * shorter(s))
     return apply(size, lambda s: F.when(bad(s), dummy).otherwise(s))
+
+
+def largest_component(mask: np.ndarray) -> int:
+    """Cells of the largest group of set cells that touch at sides or corners."""
+    left, best = {(int(y), int(x)) for y, x in np.argwhere(mask)}, 0
+    while left:
+        reached = [left.pop()]
+        for y, x in reached:
+            for near in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                if near in left:
+                    left.remove(near)
+                    reached.append(near)
+        best = max(best, len(reached))
+    return best
+
+
+def mask_component(cells: Column, width: int) -> Column:
+    """Size of the largest group in a mask given as a flat array of booleans, row by row."""
+
+    @F.pandas_udf(T.IntegerType())
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda m: largest_component(np.array(m, bool).reshape(-1, width)) if m is not None and len(m) else 0)
+
+    return of(cells)
+
+
+def overlay_pdf(pages: list[tuple[int, int, list[tuple[int, int, int, int, str]]]]) -> bytes:
+    """A PDF with the boxes of each page (width, height, boxes) and their numbers and labels, without the page images."""
+    streams = []
+    for _, height, boxes in pages:
+        drawn = []
+        for k, (x1, y1, x2, y2, label) in enumerate(boxes):
+            told = f"{k}: {label}".encode("latin-1", "replace").decode("latin-1").replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+            drawn.append(f"1 0 0 RG {x1} {height - y2} {x2 - x1} {y2 - y1} re S BT /F1 12 Tf {x1} {height - y1 + 2} Td ({told}) Tj ET")
+        streams.append("\n".join(drawn).encode("latin-1"))
+    kids = " ".join(f"{4 + 2 * k} 0 R" for k in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for k, ((width, height, _), stream) in enumerate(zip(pages, streams, strict=True)):
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {width} {height}] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * k} 0 R >>".encode())
+        objects.append(b"<< /Length %d >>\nstream\n" % len(stream) + stream + b"\nendstream")
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for k, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n" % k + body + b"\nendobj\n"
+    table = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table))
+
+
+def overlays(pages: DataFrame) -> DataFrame:
+    """name, pdf: one overlay per document from (name, page_idx, width, height, boxes of x1, y1, x2, y2, label)."""
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        drawn = overlay_pdf([(w, h, [tuple(b[k] for k in ("x1", "y1", "x2", "y2", "label")) for b in boxes]) for w, h, boxes in rows.sort_values("page_idx")[["width", "height", "boxes"]].itertuples(index=False)])
+        return pd.DataFrame({"name": [rows["name"].iloc[0]], "pdf": [drawn]})
+
+    return pages.groupBy("name").applyInPandas(draw, "name string, pdf binary")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quirelake.plans.parity import read
 from quirelake.session import shared_dir
+from quirelake.streaming import batches
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -204,12 +205,9 @@ select hour, event_type, n from w where hour + interval 1 hour <= (select max(ts
 """)
 def ext_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of a stream in which every event comes twice; an hour comes out when the watermark has passed it."""
-    path = f"{sf_dir}/events.parquet"
     folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = batches.file_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     once = twice.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
     counted = once.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
-    running = counted.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.schema("hour timestamp_ntz, event_type string, n long").parquet(f"{folder}/out")
+    return batches.drained(counted, folder)

@@ -9,7 +9,7 @@ from quirelake.functions import geometry, text
 from quirelake.operators import blocks, curation, jobs, layout, retry, tables
 from quirelake.session import shared_dir
 from quirelake.sources import files
-from quirelake.streaming import completion
+from quirelake.streaming import batches, completion
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -413,17 +413,20 @@ def stream_doc_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of documents as a stream; each document comes out once, when its last page is in."""
     import uuid
 
-    docs = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/documents.parquet*")
+    docs = batches.file_stream(spark, f"{sf_dir}/documents.parquet")
     n = F.col("n_chars")
     pages = docs.where("n_chars > 0").select("doc_id", (1 + F.floor(n / 3000)).cast("long").alias("page_count"), "n_chars", F.explode(F.sequence(F.lit(0), F.floor(n / 3000).cast("int"))).alias("p"))
     sized = pages.select("doc_id", F.col("p").alias("page"), "page_count", F.when(F.col("p") < F.col("page_count") - 1, F.lit(3000)).otherwise(n - 3000 * (F.col("page_count") - 1)).cast("long").alias("characters"))
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    running = completion.completed(sized).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.schema(completion.OUTPUT).parquet(f"{folder}/out")
+    return batches.drained(completion.completed(sized), folder)
 
 
-@query()
+@query(r"""
+with p as (select page_id, regexp_extract_all(html, '(?s)<h1\b[^>]*>.*?</h1>|<h2\b[^>]*>.*?</h2>|<p\b[^>]*>.*?</p>|<li\b[^>]*>.*?</li>') as parts from pages),
+c as (select page_id, unnest(parts) as part, cast(generate_subscripts(parts, 1) - 1 as int) as block_idx from p),
+t as (select page_id, block_idx, regexp_extract(part, '^<(\w+)', 1) as tag, regexp_replace(regexp_replace(part, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') as plain from c)
+select page_id, block_idx, case tag when 'h1' then 'Title' when 'h2' then 'Section-header' when 'li' then 'List-item' else 'Text' end as label, replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as content from t
+""")
 def pages_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of raw web pages: text between tags, in order, with a label by the tag that opened it."""
     parts = F.regexp_extract_all("html", F.lit(r"(?s)<(h1|h2|p|li)\b[^>]*>(.*?)</\1>"), 0)

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.operators import blocks, connector, curation, jobs, layout, media, results, scheduling, tables
-from quirelake.functions import geometry, text
+from quirelake.functions import text
+from quirelake.operators import blocks, connector, curation, jobs, layout, media, results, scheduling
 from quirelake.plans.parity import _BLOCKS, _STATUS, _X, _Y, _job_events, read
 from quirelake.session import shared_dir
+from quirelake.sources import files
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -324,3 +325,37 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = F.concat(F.lit("data:image/any;base64,"), F.base64(F.unhex(digits)))
     found = read(spark, sf_dir, "part").select("p_partkey", media.image_size(media.data_uri_bytes(uri)).alias("s"))
     return found.select("p_partkey", "s.format", "s.width", "s.height")
+
+
+@query("""
+with recursive c as (select vec_id, cast((i - 1) // 8 as int) as y, cast((i - 1) % 8 as int) as x from (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings) where v > 0),
+r(vec_id, y, x, sy, sx) as (select vec_id, y, x, y, x from c union select c.vec_id, c.y, c.x, r.sy, r.sx from r join c on c.vec_id = r.vec_id and abs(c.y - r.y) <= 1 and abs(c.x - r.x) <= 1),
+n as (select vec_id, sy, sx, count(*) as n from r group by vec_id, sy, sx)
+select e.vec_id, cast(coalesce(max(n.n), 0) as int) as cells from embeddings e left join n on n.vec_id = e.vec_id group by e.vec_id
+""")
+def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest group of positive entries of each vector, read as a mask of eight columns."""
+    mask = F.transform("embedding", lambda x: x > 0)
+    return read(spark, sf_dir, "embeddings").select("vec_id", media.mask_component(mask, 8).alias("cells"))
+
+
+@query("""
+with p as (select doc_id, cast(unnest(range(0, 1 + n_chars // 3000)) as int) as page_idx from documents)
+select doc_id, page_idx, page_idx = 0 and doc_id in (select doc_id from labels) as reused from p
+""")
+def reused_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose image is in the cache (here: the first page of labelled documents) and is not made again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", (1 + F.floor(F.col("n_chars") / 3000)).cast("int").alias("page_count"))
+    cache = read(spark, sf_dir, "labels").select("doc_id", F.lit(0).alias("page_idx"))
+    return files.with_cached_pages(files.pages_of(docs), cache, True).select("doc_id", "page_idx", "reused")
+
+
+@query("""
+select 'doc' || doc_id as name, least(3, 1 + n_chars // 3000)::int as page_count, true as is_pdf from documents
+""")
+def layout_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlays with the boxes of up to three pages of every document; their pages are counted again from the files."""
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.floor(F.col("n_chars") / 3000).cast("int")))).alias("page_idx"))
+    box = F.struct(F.lit(10).alias("x1"), (F.col("page_idx") * 20).alias("y1"), F.lit(90).alias("x2"), (F.col("page_idx") * 20 + 15).alias("y2"), F.lit("Text (1)").alias("label"))
+    made = media.overlays(docs.withColumns({"width": F.lit(600), "height": F.lit(800), "boxes": F.array(box)}))
+    return made.select("name", media.pdf_page_count("pdf").alias("page_count"), media.looks_like_pdf(F.col("pdf")).alias("is_pdf"))

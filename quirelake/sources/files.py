@@ -34,3 +34,24 @@ def write_markdown(pages: DataFrame, folder: str) -> None:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True)
+
+
+def read_listed(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """path, value of the text files below ``folder`` that the manifest (path, relative) names, sorted; others are not read."""
+    root = folder.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    relative = F.regexp_replace("path", r"^.*?" + _quoted(root.split("://")[-1].lstrip("/")) + "/", "")
+    listed = found.withColumn("path", relative).join(manifest.select("path").distinct(), "path")
+    return listed.select("path", F.decode("content", "UTF-8").alias("value")).orderBy("path")
+
+
+def _quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def with_cached_pages(pages: DataFrame, cached: DataFrame, skip_processed: bool) -> DataFrame:
+    """Adds reused to pages: whether a cached image (doc_id, page_idx) stands for one; only where finished work is skipped."""
+    if not skip_processed:
+        return pages.withColumn("reused", F.lit(False))
+    known = cached.select("doc_id", "page_idx").distinct().withColumn("reused", F.lit(True))
+    return pages.join(known, ["doc_id", "page_idx"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))

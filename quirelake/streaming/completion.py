@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "doc_id long, pages long, characters long"
 #: Pages that have arrived (a bit each, in hexadecimal) and their characters.
 STATE = "pages string, characters long"
-#: How long an unfinished document, or a page that came again after its document was done, is remembered.
+#: Milliseconds for which an unfinished document, or a page that came again after its document was done, is remembered.
 FORGET_AFTER = 6 * 3600 * 1000
 
 
@@ -21,9 +22,9 @@ def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
         state.remove()
         return
     held, characters = state.get if state.exists else ("0", 0)
-    seen, expected = int(held, 16), 0
+    seen, expected, latest = int(held, 16), 0, 0
     for frame in frames:
-        expected = max(expected, int(frame["page_count"].max()))
+        expected, latest = max(expected, int(frame["page_count"].max())), max(latest, int(frame["arrived_ms"].max()))
         for page, n in zip(frame["page"].tolist(), frame["characters"].tolist(), strict=True):
             if not seen >> page & 1:
                 seen |= 1 << page
@@ -34,13 +35,15 @@ def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
         yield pd.DataFrame({"doc_id": [key[0]], "pages": [seen.bit_count()], "characters": [characters]})
     else:
         state.update((f"{seen:x}", characters))
-        state.setTimeoutDuration(FORGET_AFTER)
+        state.setTimeoutTimestamp(latest + FORGET_AFTER)
 
 
 def completed(pages: DataFrame) -> DataFrame:
     """doc_id, pages, characters of every document, from a stream of (doc_id, page, page_count, characters).
 
     ``page`` counts from 0; a page that comes twice counts once. State is kept for unfinished
-    documents alone, and for ``FORGET_AFTER`` milliseconds at most after their last page.
+    documents alone, until the stream has gone on for ``FORGET_AFTER`` after their last page.
     """
-    return pages.groupBy("doc_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    now = F.current_timestamp()
+    timed = pages.withColumns({"arrived": now, "arrived_ms": F.unix_millis(now)}).withWatermark("arrived", "1 minute")
+    return timed.groupBy("doc_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

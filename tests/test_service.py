@@ -146,19 +146,56 @@ class State:
     def remove(self):
         self.held = None
 
-    def setTimeoutDuration(self, ms):
+    def setTimeoutTimestamp(self, ms):
         self.wait = ms
 
 
 def test_finished_documents_leave_no_state_and_repeated_pages_count_once():
     def frame(*pages):
-        return pd.DataFrame([{"page": p, "page_count": 3, "characters": 10 + p} for p in pages])
+        return pd.DataFrame([{"page": p, "page_count": 3, "characters": 10 + p, "arrived_ms": 77} for p in pages])
 
     state = State()
-    assert list(completion.step((5,), iter([frame(0, 0)]), state)) == [] and state.held == ("1", 10) and state.wait
+    assert list(completion.step((5,), iter([frame(0, 0)]), state)) == [] and state.held == ("1", 10) and state.wait == 77 + completion.FORGET_AFTER
     assert list(completion.step((5,), iter([frame(0, 2)]), state)) == [] and state.held == ("5", 22)
     (done,) = completion.step((5,), iter([frame(2), frame(1)]), state)
     assert done.to_dict("records") == [{"doc_id": 5, "pages": 3, "characters": 33}] and state.held is None
     assert list(completion.step((5,), iter([frame(1)]), state)) == [] and state.held
     state.hasTimedOut = True
     assert list(completion.step((5,), iter([]), state)) == [] and state.held is None
+
+
+def test_overlay_is_a_pdf_with_its_pages():
+    data = media.overlay_pdf([(600, 800, [(1, 2, 30, 40, "Text (a\\b) é")]), (300, 400, [])])
+    assert media.page_count(data) == 2 and data.endswith(b"%%EOF\n") and b"(0: Text \\(a\\\\b\\) \xe9) Tj" in data
+    start = int(data.split(b"startxref\n")[1].split()[0])
+    assert data[start : start + 4] == b"xref"
+    for k, line in enumerate(data[start:].split(b"\n")[3:10], 1):
+        at = int(line.split()[0])
+        assert data[at:].startswith(b"%d 0 obj" % k)
+
+
+def test_one_backend_is_held_for_equal_settings():
+    made, closed = [], []
+
+    class Backend:
+        def __init__(self, settings):
+            made.append(settings)
+
+        def close(self):
+            closed.append(self)
+
+    held = connector.Held()
+    one = held.get({"a": 1, "b": 2}, Backend)
+    assert held.get({"b": 2, "a": 1}, Backend) is one and len(made) == 1
+    two = held.get({"a": 3}, Backend)
+    assert two is not one and closed == [one]
+
+
+def test_only_listed_texts_are_read(spark, tmp_path):
+    from quirelake.sources import files
+
+    for name in ("a.md", "sub/b.md", "c.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"# {name} é")
+    manifest = spark.createDataFrame([("sub/b.md",), ("a.md",), ("gone.md",)], "path string")
+    assert [(r.path, r.value) for r in files.read_listed(spark, str(tmp_path), manifest).collect()] == [("a.md", "# a.md é"), ("sub/b.md", "# sub/b.md é")]
