@@ -18,7 +18,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = materialize(down.groupBy("a").agg(F.min("b").alias("least")), "least")
+    least = down.groupBy("a").agg(F.min("b").alias("least"))  # a centre of many links is the least of them, so no node has many smaller ones
     others = down.join(least.hint("merge"), "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return others.unionByName(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 

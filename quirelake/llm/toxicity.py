@@ -4,8 +4,10 @@ Only documents are labelled, yet an offence sits in a sentence. Each sentence ge
 score from its words; a document's score is the noisy-or of its sentences, 1 - prod(1 - p). The
 weights are fitted to document labels through the noisy-or, so they say which sentences offend.
 
-Fitting uses at most ``sample`` labelled documents (those with the smallest hash of their id) and
-a few thousand words that go with the label; scoring covers every sentence of every text.
+Fitting uses at most ``SAMPLE`` labelled documents (those with the smallest hash of their id) and
+at most ``MOST_FEATURES`` words and word beginnings, those that go with the label most; scoring
+covers every sentence of every text. A document is only sent to the driver as numbers of hashed
+words.
 
 Cases: a null or empty text, or one without words, has no sentence and score 0; equal ids and
 repeated rows are scored one by one; labels repeated for an id count once, toxic if any row says
@@ -28,6 +30,8 @@ from quirelake.llm.common import id_and_text, small_batches
 
 #: Labelled documents that a fit reads at most.
 SAMPLE = 8_000
+#: Hashed words and word beginnings that a fit weighs at most.
+MOST_FEATURES = 4_000
 #: Hash space of words.
 BUCKETS = 1 << 20
 #: Sentences end at these; other ASCII marks and digits separate words.
@@ -81,7 +85,7 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def select_features(docs: list[np.ndarray], toxic: np.ndarray, least_docs: int = 4, z: float = 4.0, most: int = 4000) -> np.ndarray:
+def select_features(docs: list[np.ndarray], toxic: np.ndarray, least_docs: int = 4, z: float = 4.0, most: int = MOST_FEATURES) -> np.ndarray:
     """Features whose documents are toxic far more or less often than others."""
     seen, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for own, y in zip(docs, toxic.tolist(), strict=True):
