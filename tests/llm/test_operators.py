@@ -437,3 +437,79 @@ def test_toxicity_learns_sentences_from_documents(spark, no_docs):
 def test_row_hash_is_stable():
     data = "aé b\n".encode()
     assert runs.word_symbols(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == runs.word_symbols(np.frombuffer(b"z " + data, np.uint8), np.array([0, len(data) + 2]))[0].tolist()[1:]
+
+
+def test_scores_restate_the_noisy_or(spark, odd_docs, texts):
+    """Sentence by sentence from the weights themselves; long texts, nulls and further columns among the rows."""
+    words = sorted({w for _, t in texts for s in toxicity.sentences(t or "") for w in s})
+    rnd = np.random.default_rng(6)
+    weights = {f: float(rnd.normal()) for w in words[::3] for f in toxicity.features(w)}
+    model = toxicity.Model(weights, -2.0)
+    want = Counter()
+    for i, t in texts:
+        clean, n = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", (t or "").lower()):
+            own = re.findall(r"[a-z\x80-\U0010ffff]+", sentence)
+            if own:
+                z = model.bias + sum(weights.get(f, 0.0) for w in own for f in toxicity.features(w.encode()))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+                n += 1
+        want[i, n, round(1 - clean, 9)] += 1
+    got = toxicity.score(odd_docs, model).collect()
+    assert Counter((r.doc_id, r.n_sentences, round(r.score, 9)) for r in got) == want
+    assert all(0 <= r.score <= 1 for r in got) and max(n for _, n, _ in want) > 500
+    kept = toxicity.keep_below(odd_docs, model, 0.5)
+    assert kept.columns == odd_docs.columns and kept.count() == sum(c for (_, _, x), c in want.items() if x < 0.5)
+
+
+def prose_bytes(n, seed=3):
+    rnd = np.random.default_rng(seed)
+    syllables = "ab ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo yu za".split()
+    lexicon = ["".join(rnd.choice(syllables, rnd.integers(1, 5))) for _ in range(6000)]
+    return " ".join(rnd.choice(lexicon, n))
+
+
+def test_quality_keeps_prose_and_rejects_the_rest(spark):
+    import base64
+
+    noise = base64.b85encode(np.random.default_rng(1).bytes(6000)).decode()
+    some = {
+        **{k: (prose_bytes(n, k), True) for k, n in ((1, 60), (2, 300), (3, 1500), (4, 4000))},
+        11: ("all work and no play " * 300, False), 12: (" ".join(noise[k : k + 9] for k in range(0, len(noise), 9)), False), 13: ("too short", False), 14: ("", False), 15: (None, False), 16: (prose_bytes(3000, 5) + " " + "ha " * 900, False),
+    }
+    rows = spark.createDataFrame([(k, t, 1) for k, (t, _) in some.items()], "doc_id long, text string, kept int")
+    assert {r.doc_id: r.kept for r in quality.quality_rules(rows).collect()} == {k: v for k, (_, v) in some.items()}
+
+
+def test_sharding_query(spark, tmp_path, texts):
+    rows = spark.createDataFrame([*texts, *((7, "same") for _ in range(200))], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op10_bounded_ring_sharding(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in [*texts, *((7, "same") for _ in range(200))])
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+
+
+def test_toxicity_query_columns(spark):
+    from tests.conftest import SF
+
+    got = toxicity.op1_noisy_or_toxicity(spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for r in got:
+        assert r.held_out is (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+
+
+def test_token_table_starts_anew_and_stays_right(monkeypatch):
+    from quirelake.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST", 50)
+    monkeypatch.setattr(tokens, "BLOCK", 300)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, some = Tokenizer.from_file(path), [prose_bytes(40, k) + (" Straßenbahnhaltestellenverzeichnis, é." if k % 2 else "") for k in range(30)]
+    encoder = ChunkEncoder(path, False, "<u2")
+    for t, ids in zip(some, encoder.encode(some), strict=True):
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert encoder._many < 1000

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from quirelake.llm.common import materialize
 from tests.conftest import SF
-from tests.llm.test_operators import BWORD, groups, lowered
+from tests.llm.test_operators import BWORD, WORD, groups, lowered, order
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,36 @@ def test_toxic_documents_go_and_others_stay(spark, results):
     assert gone and all(labels.get(i, 1) == 1 for i, _ in gone)
 
 
+def test_later_copies_of_lines_go(results):
+    """The rule restated: a line goes if it lies in the shortest stretch of eight words that starts earlier as well."""
+    before = [(r.doc_id, r.text) for r in results["toxicity"].collect()]
+
+    def stretches(t):
+        own = [(k, x, len(WORD.findall(x))) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+        for a in range(len(own)):
+            total = 0
+            for b in range(a, len(own)):
+                total += own[b][2]
+                if total >= 8:
+                    yield a, tuple(x for _, x, _ in own[a : b + 1]), [k for k, _, _ in own[a : b + 1]]
+                    break
+
+    first = {}
+    for i, t in before:
+        for a, key, _ in stretches(t):
+            at = (order(i), a)
+            first[key] = min(first.get(key, at), at)
+    want = Counter()
+    for i, t in before:
+        gone = {k for a, key, own in stretches(t) if first[key] < (order(i), a) for k in own}
+        lines = (t or "").split("\n")
+        left = [x for k, x in enumerate(lines) if k not in gone]
+        if not gone or any(WORD.search(x) for x in left):
+            want[i, "\n".join(left) if gone else t] += 1
+    assert rows(results["line_dedup"]) == want
+    assert all(r.n_chars == len(r.text) for r in results["line_dedup"].join(results["toxicity"].select("doc_id", results["toxicity"].text.alias("was")), "doc_id").where("text <> was").collect())
+
+
 def test_one_of_each_group_stays(results):
     before = [(r.doc_id, r.text) for r in results["line_dedup"].collect()]
     seen, want = set(), Counter()
@@ -80,3 +110,12 @@ def test_everything_left_is_packed(results):
 def test_run_gives_the_same_rows(spark, results):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == results["packing"].columns and got.count() > 0
+
+
+def test_stages_take_empty_tables_odd_rows_and_any_columns(spark, results, odd_docs, no_docs):
+    for docs, any_left in ((no_docs, False), (odd_docs, True)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, SF), name)
+            assert name == "packing" or docs.columns == columns
+            assert (docs.count() > 0) is any_left
