@@ -45,3 +45,12 @@ def grid_position(index: Column, w: int, m1: int, m2: int, channels: int) -> Col
     b, a = cell % m2, F.floor(cell / m2) % m1
     x, y = F.floor(cell / (m1 * m2)) % w, F.floor(cell / (m1 * m2 * w))
     return F.struct((y * m1 + a).cast("int").alias("row"), (x * m2 + b).cast("int").alias("col"), (index % channels).cast("int").alias("channel"))
+
+
+def cropped_size(width: Column, height: Column, shown_width: Column, shown_height: Column, natural_width: Column, natural_height: Column) -> Column:
+    """struct(width, height) of a crop drawn on a shown image, in natural pixels: halves up, one at least."""
+
+    def side(drawn: Column, shown: Column, natural: Column) -> Column:
+        return F.greatest(F.lit(1), F.floor(drawn * (natural / shown) + 0.5)).cast("int")
+
+    return F.struct(side(width, shown_width, natural_width).alias("width"), side(height, shown_height, natural_height).alias("height"))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.functions import text
+from quirelake.functions import assets, geometry, text
 from quirelake.operators import blocks, connector, curation, jobs, layout, media, results, scheduling
 from quirelake.plans.parity import _BLOCKS, _STATUS, _X, _Y, _job_events, read
 from quirelake.session import shared_dir
@@ -359,3 +359,90 @@ def layout_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.struct(F.lit(10).alias("x1"), (F.col("page_idx") * 20).alias("y1"), F.lit(90).alias("x2"), (F.col("page_idx") * 20 + 15).alias("y2"), F.lit("Text (1)").alias("label"))
     made = media.overlays(docs.withColumns({"width": F.lit(600), "height": F.lit(800), "boxes": F.array(box)}))
     return made.select("name", media.pdf_page_count("pdf").alias("page_count"), media.looks_like_pdf(F.col("pdf")).alias("is_pdf"))
+
+
+@query("""
+with p as (select p_partkey, p_size * 1.5::double as w, (p_partkey % 40) * 0.01::double as h, 300 + p_size as sw, 200 + p_partkey % 50 as sh from part)
+select p_partkey, cast(greatest(1, floor(w * ((2 * sw + 7) / sw) + 0.5)) as int) as width, cast(greatest(1, floor(h * ((3 * sh + 1) / sh) + 0.5)) as int) as height from p
+""")
+def crop_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops drawn on shown images in natural pixels; the flattest keep one row of them."""
+    shown_w, shown_h = 300 + F.col("p_size"), 200 + F.col("p_partkey") % 50
+    size = geometry.cropped_size(F.col("p_size") * 1.5, (F.col("p_partkey") % 40) * 0.01, shown_w, shown_h, 2 * shown_w + 7, 3 * shown_h + 1)
+    return read(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("""
+with c as (select c_custkey as k, c_custkey % 8 as m from customer)
+select k as c_custkey, m in (0, 2, 4) as retryable, m not in (1, 5) as session_ok, m in (0, 3, 6) as truthy, cast(case when m in (2, 7) then k else 1 end as int) as positive,
+  case when m = 0 then 'image' when m = 1 then 'pdf' when m = 2 then 'image' else 'unsupported' end as media from c
+""")
+def service_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses worth another try, session tokens, switches, counts and kinds of files, right and wrong ones of each."""
+    k, m = F.col("c_custkey").cast("string"), F.col("c_custkey") % 8
+    status = F.when(m == 0, 429).when(m == 2, 503).when(m == 4, 500).when(m == 6, 404).otherwise(501)
+    token = F.when(m == 1, F.repeat(F.lit("a"), F.lit(31))).when(m == 5, F.concat(F.repeat(F.lit("b"), F.lit(40)), F.lit("!"))).otherwise(F.concat(F.repeat(F.lit("-_z9"), F.lit(8)), k))
+    switch = F.when(m == 0, " TRUE ").when(m == 3, "on").when(m == 6, "1").when(m == 7, "y").otherwise("off")
+    number = F.when(m.isin(2, 7), F.concat(F.lit(" "), k)).when(m == 1, "0").when(m == 3, "-4").when(m == 5, "many")
+    name = F.concat(k, F.when(m == 0, ".JPeG").when(m == 1, ".pdf").when(m == 2, ".TIF").when(m == 3, "").otherwise(".txt"))
+    return read(spark, sf_dir, "customer").select(
+        "c_custkey", assets.is_retryable(status).alias("retryable"), assets.is_session_token(token).alias("session_ok"), text.truthy(switch).alias("truthy"), F.coalesce(text.positive_int(number), F.lit(1)).alias("positive"), text.media_type(name).alias("media")
+    )
+
+
+@query("""
+with c as (select c_custkey as k, c_custkey % 6 as m from customer)
+select k as c_custkey, case m when 0 then 'a_b_' || k || '.pdf' when 1 then k || '.png' when 2 then 'upload.bin' when 3 then k || '.bin' when 4 then repeat('n', 128) || '.jpg' else 'hidden' || k || '.bin' end as upload,
+  case m when 0 then 'http://host' || k || ':8000' when 1 then 'https://far.example/' || k when 2 then 'http://localhost:1/v1' when 3 then null when 4 then '' else 'http://127.0.0.1/' || k end as address,
+  'reg:5000/a/b' || k as image, 'a%20b/' || k || '%3F%C3%BC/' as path from c
+""")
+def names_and_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of uploads made safe, server addresses, repositories of images, and paths in addresses."""
+    k, m = F.col("c_custkey").cast("string"), F.col("c_custkey") % 6
+    name = F.when(m == 0, F.concat(F.lit("x/a b? "), k, F.lit(".PDF"))).when(m == 1, F.concat(F.lit("up\\y\\"), k, F.lit(".png"))).when(m == 2, "...").when(m == 3, k).when(m == 4, F.concat(F.repeat(F.lit("n"), F.lit(200)), F.lit(".jpg"))).otherwise(F.concat(F.lit(".hidden"), k))
+    address = F.when(m == 0, F.concat(F.lit("host"), k, F.lit(":8000//"))).when(m == 1, F.concat(F.lit("https://far.example/"), k)).when(m == 2, "https://localhost:1/v1/").when(m == 3, "ftp://x").when(m == 4, "  ").otherwise(F.concat(F.lit("HTTPS://127.0.0.1/"), k))
+    image = F.concat(F.lit("reg:5000/a/b"), k, F.when(m % 3 == 0, ":v1").when(m % 3 == 1, "@sha256:ff").otherwise(":v1@sha256:ff"))
+    return read(spark, sf_dir, "customer").select("c_custkey", text.upload_name(name).alias("upload"), text.server_url(address).alias("address"), text.image_repository(image).alias("image"), text.path_segments_encoded(F.concat(F.lit("a b/"), k, F.lit("?ü/"))).alias("path"))
+
+
+@query("""
+with o as (select o_orderkey as k, o_orderkey % 6 as m from orders)
+select k as o_orderkey, case m when 0 then null when 1 then 'SUCCESS' when 2 then 'BACKEND_UNAVAILABLE' when 3 then 'GONE' when 4 then 'BACKEND_UNAVAILABLE' else 'BACKEND_UNAVAILABLE' end as code,
+  case m when 0 then null when 1 then 'The backend request failed.' when 2 then 'The backend request failed.' when 3 then 'm' || k when 4 then 'The backend is unavailable; retry later.' else 'only words' end as message from o
+""")
+def upstream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a backend: right ones, lists as data, no JSON, named failures, failures that are masked, failures without a name."""
+    k, m = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 6
+    status = F.when(m == 3, 404).when(m == 4, 503).when(m == 5, 400).otherwise(200)
+    body = (
+        F.when(m == 0, F.concat(F.lit('{"internal_code":"SUCCESS","data":{"k":'), k, F.lit("}}")))
+        .when(m == 1, F.lit('{"internal_code":"SUCCESS","data":[1]}'))
+        .when(m == 2, F.lit("nope"))
+        .when(m == 3, F.concat(F.lit('{"internal_code":"GONE","message":"m'), k, F.lit('"}')))
+        .when(m == 4, F.lit('{"internal_code":"GONE","message":"secret"}'))
+        .otherwise(F.lit('{"message":"only words"}'))
+    )
+    return read(spark, sf_dir, "orders").select("o_orderkey", assets.upstream_error(status, body).alias("e")).select("o_orderkey", "e.code", "e.message")
+
+
+@query("""
+select doc_id, 'see ![p](' || case when doc_id % 3 = 0 then 'data:image/jpeg;base64,' || to_base64(encode('picture ' || doc_id)) else 'img/' || doc_id || '.jpg' end || ') and ![q](https://far.example/' || doc_id || '.png).' as markdown from documents
+""")
+def inlined_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of Markdown put inside where their file is there (every third); other references stay."""
+    i = F.col("doc_id").cast("string")
+    own = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see ![p](img/"), i, F.lit(".jpg) and ![q](https://far.example/"), i, F.lit(".png).")).alias("md"))
+    there = own.where("doc_id % 3 = 0").select("doc_id", F.create_map(F.concat(F.lit("img/"), i, F.lit(".jpg")), assets.data_uri(F.concat(F.lit("picture "), i).cast("binary"), F.lit("x.jpg"))).alias("files"))
+    joined = own.join(there, "doc_id", "left").withColumn("files", F.coalesce("files", F.create_map().cast("map<string,string>")))
+    return joined.select("doc_id", assets.inlined(F.col("md"), F.col("files")).alias("markdown"))
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int) as x1, cast(l_quantity as int) + 3 as x2, round(least(0.2 * (l_linenumber + 1), 0.8)::double, 9) as temperature, least(0.5 * pow(2.0, l_linenumber), 30.0)::double as pause from lineitem
+""")
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that were clamped once pass a second clamp unchanged; temperatures and pauses of retries."""
+    box = F.struct(F.col("l_quantity").cast("int").alias("x1"), F.lit(0).alias("y1"), (F.col("l_quantity").cast("int") + 3).alias("x2"), F.lit(1).alias("y2"))
+    again = geometry.clamp_box(box, F.lit(1000), F.lit(10))
+    told = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", again.alias("b"), F.round(text.retry_temperature(F.col("l_linenumber")), 9).alias("temperature"), text.backoff_seconds(0.5, F.col("l_linenumber")).alias("pause"))
+    return told.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.x1", "b.x2", "temperature", "pause")
