@@ -440,24 +440,24 @@ def pages_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with m as (select source || '/' || doc_id % 40 as archive, doc_id, text from documents),
+with m as (select source || '/' || doc_id % 200 as archive, doc_id, text from documents),
 f as (select archive, 'docs/' || doc_id || '.md' as member, strlen(coalesce(text, '')) as size, sha256(coalesce(text, '')) as sha from m where doc_id % 10 <> 3
   union all select archive, 'images/' || doc_id || '.jpg', 4, sha256('jpeg') from m where doc_id % 25 = 0),
 a as (select archive, count(*) + count(*) filter (doc_id % 25 = 0) as files from m group by archive),
 t as (select archive, files, coalesce((select sum(size) from f where f.archive = a.archive), 0) as bytes from a)
-select f.archive, member, size::bigint as size, sha, null as error from f join t using (archive) where files <= 12 and bytes <= 20000
-union all select archive, null, 0, null, case when files > 12 then 'too many files' else 'over the extraction limit' end from t where files > 12 or bytes > 20000
+select f.archive, member, size::bigint as size, sha, null as error from f join t using (archive) where files <= 5 and bytes <= 20000
+union all select archive, null, 0, null, case when files > 5 then 'too many files' else 'over the extraction limit' end from t where files > 5 or bytes > 20000
 """)
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into archives and unpacked again under limits that some break; some suffixes are left out."""
     from quirelake.operators import archives
 
     i = F.col("doc_id").cast("string")
-    docs = read(spark, sf_dir, "documents").withColumn("archive", F.concat("source", F.lit("/"), (F.col("doc_id") % 40).cast("string")))
+    docs = read(spark, sf_dir, "documents").withColumn("archive", F.concat("source", F.lit("/"), (F.col("doc_id") % 200).cast("string")))
     name = F.concat(F.lit("docs/"), i, F.when(F.col("doc_id") % 10 == 3, ".exe").otherwise(".md"))
     own = docs.select("archive", name.alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     pictures = docs.where("doc_id % 25 = 0").select("archive", F.concat(F.lit("images/"), i, F.lit(".jpg")).alias("member"), F.lit("jpeg").cast("binary").alias("content"))
-    back = archives.unpacked(archives.pack(own.unionByName(pictures)), 12, 20_000, (".md", ".jpg"))
+    back = archives.unpacked(archives.pack(own.unionByName(pictures)), 5, 20_000, (".md", ".jpg"))
     return back.select("archive", "member", "size", F.sha2("content", 256).alias("sha"), "error")
 
 
