@@ -15,7 +15,8 @@
 
 A family of more than ``BLOCK`` sets, or of very long ones, is cut into blocks by size class and
 hash; trees of two blocks at a time are traversed against each other, so a task's memory has a
-bound. Sizes further apart than the threshold allows never meet.
+bound. Sizes further apart than the threshold allows never meet. The number of such tasks grows
+with the square of a family's blocks; nothing is left out to avoid that.
 
 Cases: null and empty texts and texts of white space have an empty set and are linked with
 nothing; texts of fewer words than a shingle have their whole sequence as one; equal ids are
@@ -227,8 +228,9 @@ def dealt(members: DataFrame, threshold: int) -> DataFrame:
     size = F.floor(F.log(F.col("n_shingles")) / ratio).cast("int")
     own = members.withColumn("class", size).groupBy("family", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
     whole = own.groupBy("family").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", parts(F.col("n"), F.col("total"))))).alias("blocks"))
-    plans = whole.select("family", F.when(parts(F.col("n"), F.col("total")) > 1, F.col("blocks")).alias("blocks"))
-    placed = members.join(plans, "family").withColumn("class", size)
+    # Written first, so that the join can be split where a family is very large.
+    plans = materialize(whole.where(parts(F.col("n"), F.col("total")) > 1).select("family", "blocks"), "family-blocks")
+    placed = members.join(plans.hint("merge"), "family", "left").withColumn("class", size)
     at = lambda c: F.coalesce(F.element_at("blocks", c), F.lit(0))
     mine = F.pmod(F.xxhash64("sid"), F.greatest(at(F.col("class")), F.lit(1))).cast("int")
     empty = F.array().cast("array<int>")
