@@ -51,6 +51,14 @@ def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the written table that ``df`` reads, once its successor is written."""
+    root = f"{shared_dir(df.sparkSession)}/quirelake/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/quirelake/" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            _remove(df.sparkSession, folder)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -55,9 +55,59 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 from d left join h on h.doc_id = d.doc_id left join i on i.doc_id = d.doc_id
 """
 
+OP11 = r"""
+with x as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) as raw from documents),
+r as (select doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as k from x where length(raw) >= 5 group by all),
+b as (select *, hex(encode(concat(doc_id, ':', run))) as b from r),
+s as (select *, list_transform(range(0, 4 * len(b)), lambda p: case when p % 8 = 0 then (strpos('0123456789ABCDEF', b[p // 4 + 1]) - 1) * 16 + strpos('0123456789ABCDEF', b[p // 4 + 2]) - 1 else 0 end) as bits from b),
+h as (select *, xor(list_reduce(list_prepend(4294967295::bigint, bits), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295) as h from s),
+d as (select case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from h),
+w as materialized (select word, sum(k)::bigint as n from d where length(word) >= 5 group by word having sum(k) >= 3),
+c as materialized (select word, n, i, left(word, i - 1) || substr(word, i + 1) as cut from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+p as (select a.word, b.word as other, b.n as m from c a join c b on a.i = b.i and a.cut = b.cut and a.word <> b.word
+  union select c.word, w.word, w.n from c join w on c.cut = w.word union select w.word, c.word, c.n from c join w on c.cut = w.word),
+f as materialized (select word, count(*) as n_near, max(m) as m, arg_min(other, (-m, other)) as best from p group by word),
+g as materialized (select w.word, w.n, coalesce(f.n_near, 0) as n_near, case when f.m >= 2 * w.n then f.best end as form, case when f.m >= 2 * w.n then f.m end as form_n from w left join f on f.word = w.word),
+t as (with recursive t(word, at_) as (select word, form from g where form is not null union all select t.word, g.form from t join g on g.word = t.at_ where g.form is not null) select t.word, t.at_ from t join g on g.word = t.at_ where g.form is null)
+select g.word, g.form, coalesce(t.at_, g.word) as root, g.n, g.n_near, g.form_n from g left join t on t.word = g.word
+"""
+
+
+def exact_clusters(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """All rounds of integer k-means written out one after another."""
+    fit = f"len(embedding) = {size} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size}"
+    parts = [
+        f"v as materialized (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where {fit})",
+        f"c0 as materialized (select row_number() over (order by sha256(concat('3:', vec_id))) - 1 as k, v from v qualify k < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} as materialized (select vec_id, any_value(v) as v, arg_min(k, (d, k)) as k, min(d) as d from (select v.vec_id, v.v, c.k, list_sum(list_transform(range(1, {size + 1}), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) as d from v, c{r} c) group by vec_id)")
+        if r < rounds:
+            parts.append(f"m{r} as materialized (select k, list((s - ((s % n) + n) % n) // n order by i)::bigint[] as v from (select k, i, sum(x) as s, count(*) as n from (select k, unnest(v) as x, generate_subscripts(v, 1) as i from a{r}) group by k, i) group by k)")
+            parts.append(f"c{r + 1} as materialized (select c.k, coalesce(m.v, c.v) as v from c{r} c left join m{r} m on m.k = c.k)")
+    return "with " + ",\n".join(parts) + f"""
+select vec_id, a.k::int as cluster, d::bigint as distance, (sum(d) over (partition by a.k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on c.k = a.k"""
+
+
+OP12 = exact_clusters()
+
+OP13 = r"""
+with recursive v as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.98),
+n as (select a, count(*) as n from e group by a),
+s(node, seen) as (select distinct a, a from e union select e.b, s.seen from s join e on e.a = s.node),
+r as (select node, min(seen) as least_ from s group by node)
+select d.vec_id, coalesce(n.n, 0) as n_links, least(d.vec_id, coalesce(r.least_, d.vec_id)) as component_id, d.vec_id = component_id as kept
+from embeddings d left join n on n.a = d.vec_id left join r on r.node = d.vec_id
+"""
+
 ORACLES = {
     "op2_signature_tree_join": OP2,
     "op5_suffix_array_line_dedup": OP5,
     "op7_super_kmer_dedup": OP7,
     "op9_positional_index": OP9,
+    "op11_pigeonhole_spelling": OP11,
+    "op12_exponion_clusters": OP12,
+    "op13_quantised_near_vectors": OP13,
 }

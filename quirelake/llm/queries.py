@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quirelake.llm import decontaminate, jaccard, lines, packing, planes, quality, sharding, substrings, superkmers, toxicity
+from quirelake.llm import centroids, decontaminate, jaccard, lines, packing, planes, quality, sharding, spelling, substrings, superkmers, toxicity, vectors
 from quirelake.llm.oracles import ORACLES as ORACLES
 
 QUERIES = {
@@ -18,4 +18,7 @@ QUERIES = {
     "op6_plane_shuffled_ids": planes.op6_plane_shuffled_ids,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op10_bounded_ring_sharding": sharding.op10_bounded_ring_sharding,
+    "op11_pigeonhole_spelling": spelling.op11_pigeonhole_spelling,
+    "op12_exponion_clusters": centroids.op12_exponion_clusters,
+    "op13_quantised_near_vectors": vectors.op13_quantised_near_vectors,
 }

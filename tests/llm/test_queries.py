@@ -20,4 +20,4 @@ def test_corpus_query_equals_its_sql(spark, name):
 
 def test_every_dealt_operator_has_one_query():
     dealt = [n for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in dealt) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in dealt) == list(range(1, 14)) and "pipeline" in queries.QUERIES
