@@ -4,9 +4,10 @@ A word of length L is cut into two segments of lengths that depend on L alone, L
 Of two words one edit apart one segment of the shorter stays whole: the first at the start of the
 other word, or the second at its end, moved by the difference of the lengths. So every word is
 indexed under both its segments, and probes the segments of words of its own length and of one less
-with its own beginning and its own, shifted, end. What meets is verified by a banded edit distance
-inside the join, so that only links leave it; a pair that meets at both segments is taken at the
-first.
+with its own beginning and its own, shifted, end. The edit then lies in the rest, which is cut in two
+by the same rule, so that a key holds a segment and half of the rest: what meets agrees in three
+quarters. It is verified by a banded edit distance inside the join, so that only links leave it; a
+pair that meets at several places is taken at the first.
 
 Cases: null and empty texts have no words; a null id is written as nothing before the colon;
 repeated rows count each time; words are told apart as strings, whatever their accents; very long
@@ -41,31 +42,39 @@ def word_counts(docs: DataFrame, least_length: int = 5, least_count: int = 3, ev
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
-def _segments(words: DataFrame) -> DataFrame:
-    """One row per word and segment: size (the word's length), side (0 first, 1 second), segment."""
-    size = F.length("word")
-    cut = F.floor(size / 2).cast("int")
-    parts = F.array(F.struct(F.lit(0).alias("side"), F.col("word").substr(F.lit(1), cut).alias("segment")), F.struct(F.lit(1).alias("side"), F.col("word").substr(cut + 1, size).alias("segment")))
-    return words.select("word", "n", size.alias("size"), F.inline(parts))
+def _places(word: Column, size: Column) -> list[Column]:
+    """What ``word`` shows at the four places where a word of length ``size`` may agree with it, one edit apart.
+
+    The first segment stands at the beginning, the second one at the end, later by the difference of
+    the lengths. Beside a segment that agrees lies the edit, so the rest is cut in two the same way.
+    """
+    cut, shift = F.floor(size / 2).cast("int"), F.length(word) - size
+    first, second = word.substr(F.lit(1), cut), word.substr(cut + 1 + shift, size)
+    found = []
+    for whole, start, long in ((first, F.lit(0), cut), (second, cut, size - cut)):
+        other_start, other_long = (cut, size - cut) if whole is first else (F.lit(0), cut)
+        half = F.floor(other_long / 2).cast("int")
+        found += [F.concat(whole, word.substr(other_start + 1, half)), F.concat(whole, word.substr(other_start + half + 1 + shift, other_long - half))]
+    return found
 
 
-def _probes(words: DataFrame) -> DataFrame:
-    """One row per word, length it looks for (its own and one less) and side, with the part that must be that segment."""
-    own = F.length("word")
-    wanted = words.withColumn("size", F.explode(F.array(own, own - 1))).where("size > 0")
-    cut = F.floor(F.col("size") / 2).cast("int")
-    # The second segment starts where it does in the indexed word, later by the difference of the lengths.
-    parts = F.array(F.struct(F.lit(0).alias("side"), F.col("word").substr(F.lit(1), cut).alias("segment")), F.struct(F.lit(1).alias("side"), F.col("word").substr(cut + 1 + own - F.col("size"), own).alias("segment")))
-    return wanted.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "size", F.inline(parts))
+def _listed(places: list[Column]) -> Column:
+    return F.inline(F.array(*[F.struct(F.lit(k).alias("place"), p.alias("segment")) for k, p in enumerate(places)]))
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, n, other, other_n: every unordered pair of words one edit apart, once (``words`` has word and n, words distinct)."""
-    cut = F.floor(F.col("size") / 2).cast("int")
-    met_first = F.col("word").substr(F.lit(1), cut) == F.col("other").substr(F.lit(1), cut)
-    once = (F.length("other") > F.col("size")) | (F.col("word") < F.col("other"))
-    pair = _segments(words).hint("merge").join(_probes(words), ["size", "side", "segment"])
-    return pair.where(once & ((F.col("side") == 0) | ~met_first) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    word, other, size = F.col("word"), F.col("other"), F.col("size")
+    indexed = words.withColumn("size", F.length("word")).select("word", "n", "size", _listed(_places(word, size)))
+    asked = words.select(word.alias("other"), F.col("n").alias("other_n"), F.explode(F.array(F.length("word"), F.length("word") - 1)).alias("size")).where("size > 0")
+    probes = asked.select("other", "other_n", "size", _listed(_places(other, size)))
+    once = (F.length("other") > size) | (word < other)
+    here = [x == y for x, y in zip(_places(word, size), _places(other, size), strict=True)]
+    met_before = F.lit(False)
+    for k in range(1, len(here)):
+        met_before = F.when(F.col("place") >= k, met_before | here[k - 1]).otherwise(met_before)
+    pair = indexed.hint("merge").join(probes, ["size", "place", "segment"])
+    return pair.where(once & (F.levenshtein("word", "other", 1) == 1) & ~met_before).select("word", "n", "other", "other_n")
 
 
 def with_roots(forms: DataFrame) -> DataFrame:

@@ -275,7 +275,7 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     joined = materialize(components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))), "vector-components")
     counts = found.where("n is not null").groupBy("cid").agg(F.sum("n").alias("others"))
     named = classes.select("cid", "h1", "h2", "n", "doc").join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").join(counts.hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least_ids = named.groupBy("component").agg(F.min("doc").alias("first"))
+    least_ids = materialize(named.groupBy("component").agg(F.min("doc").alias("first")), "least-ids")  # written first, so that the join can be split where a component is large
     about = materialize(named.join(least_ids.hint("merge"), "component").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "first"), "vector-groups")
     # Rows that link with nothing have no first hash, and are dealt out by their ids.
     own = rows.select("vec_id", "doc", F.when(F.col("fit"), F.col("h1")).alias("h1"), F.when(F.col("fit"), F.col("h2")).otherwise(F.xxhash64("vec_id", "h2")).alias("h2")).join(about.hint("merge"), ["h1", "h2"], "left")
