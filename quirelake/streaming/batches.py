@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state on local disk, as keyed processors need; the session is left as it was."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ON_DISK)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+
 
 def file_stream(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
     """Parquet files below ``path`` as a stream; a batch takes ``most_files`` at most, so a slow consumer is never flooded."""
@@ -18,11 +35,13 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
 
     An interrupted run goes on where its checkpoint ends.
     """
-    running = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    with state_on_disk(stream.sparkSession):
+        running = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def kept_running(stream: DataFrame, folder: str, seconds: float = 1.0):
     """The same as a query that goes on, with a batch every ``seconds`` for whatever has arrived; returns its handle."""
-    return stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(processingTime=f"{seconds} seconds").start()
+    with state_on_disk(stream.sparkSession):
+        return stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(processingTime=f"{seconds} seconds").start()

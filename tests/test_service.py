@@ -5,12 +5,10 @@ import random
 import struct
 import zlib
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quirelake.operators import connector, media, results, scheduling
-from quirelake.streaming import completion
 
 
 def test_combined_list_is_one_json_text(spark, tmp_path):
@@ -129,41 +127,6 @@ def test_sizes_that_cannot_be_loaded_become_the_dummy(spark):
     assert got == [(32, 32), (32, 32), (32, 32), (4000, 20), (20, 20)]
 
 
-class State:
-    """Stands in for the engine's state of one key."""
-
-    hasTimedOut = False
-
-    def __init__(self):
-        self.held, self.wait = None, None
-
-    exists = property(lambda s: s.held is not None)
-    get = property(lambda s: s.held)
-
-    def update(self, value):
-        self.held = value
-
-    def remove(self):
-        self.held = None
-
-    def setTimeoutTimestamp(self, ms):
-        self.wait = ms
-
-
-def test_finished_documents_leave_no_state_and_repeated_pages_count_once():
-    def frame(*pages):
-        return pd.DataFrame([{"page": p, "page_count": 3, "characters": 10 + p, "arrived_ms": 77} for p in pages])
-
-    state = State()
-    assert list(completion.step((5,), iter([frame(0, 0)]), state)) == [] and state.held == ("1", 10) and state.wait == 77 + completion.FORGET_AFTER
-    assert list(completion.step((5,), iter([frame(0, 2)]), state)) == [] and state.held == ("5", 22)
-    (done,) = completion.step((5,), iter([frame(2), frame(1)]), state)
-    assert done.to_dict("records") == [{"doc_id": 5, "pages": 3, "characters": 33}] and state.held is None
-    assert list(completion.step((5,), iter([frame(1)]), state)) == [] and state.held
-    state.hasTimedOut = True
-    assert list(completion.step((5,), iter([]), state)) == [] and state.held is None
-
-
 def test_overlay_is_a_pdf_with_its_pages():
     data = media.overlay_pdf([(600, 800, [(1, 2, 30, 40, "Text (a\\b) é")]), (300, 400, [])])
     assert media.page_count(data) == 2 and data.endswith(b"%%EOF\n") and b"(0: Text \\(a\\\\b\\) \xe9) Tj" in data
