@@ -70,9 +70,10 @@ def matches(keyed: DataFrame, benchmark: DataFrame, width: int = WIDTH, near_sha
     ``keyed`` has doc_key and text. A proximity match has ``near_share`` of the window's distinct
     terms within ``width`` - 1 words of its rarest one.
     """
-    listed = windows(benchmark, width).withColumn("window_id", F.xxhash64("terms"))
-    items = materialize(listed.select("window_id", "terms", "item_id"), "window-items")
-    distinct = items.groupBy("window_id").agg(F.first("terms").alias("terms"))
+    listed = materialize(windows(benchmark, width).distinct(), "window-items")
+    # Numbers instead of hashes: written once, so every later step sees the same.
+    distinct = materialize(listed.select("terms").distinct().withColumn("window_id", F.monotonically_increasing_id()), "window-numbers")
+    items = listed.join(distinct, "terms").select("window_id", "item_id")
     vocabulary = materialize(distinct.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     counts = materialize(term_counts(keyed, vocabulary), "term-counts")
     ready = materialize(anchored(distinct, counts).where(F.col("anchor").isNotNull()), "windows")
@@ -83,7 +84,7 @@ def matches(keyed: DataFrame, benchmark: DataFrame, width: int = WIDTH, near_sha
     # A checked number of windows of at most ``width`` terms goes to the postings; more meet them in a join that can be split.
     sent = F.broadcast(ready) if ready.count() <= BLOCK else ready.hint("merge")
     looked_up = index.join(sent, "anchor").select("doc_key", "window_id", start.cast("long").alias("start"), F.size("terms").alias("length"), F.coalesce((start >= 0) & agrees, F.lit(False)).alias("phrase"), close.alias("close"))
-    return looked_up.where(F.col("phrase") | F.col("close")).drop("close"), items.select("window_id", "item_id").distinct()
+    return looked_up.where(F.col("phrase") | F.col("close")).drop("close"), items
 
 
 def postings(keyed: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
@@ -106,7 +107,8 @@ def postings(keyed: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    """doc_key: id and hash together, so that unlike documents under ids of their own are never taken for one."""
+    return docs.withColumn("doc_key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("doc_id", "text").alias("hash")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import runs
@@ -66,8 +66,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -
 
 
 def set_rows(keyed: DataFrame, size: int) -> DataFrame:
-    """row_key, doc, doc_id, n_shingles, sid (null for an empty set), bands."""
-    fields = "row_key long, doc long, doc_id long, n_shingles long, sid long, bands array<long>"
+    """row_key, doc, doc_id, n_shingles, one and two (hashes of the set, null for an empty one), bands."""
+    fields = "row_key long, doc long, doc_id long, n_shingles long, one long, two long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,15 +84,16 @@ def set_rows(keyed: DataFrame, size: int) -> DataFrame:
                 for r in range(ROWS):
                     keys = runs.mix(keys ^ minima[:, r::ROWS]) + np.uint64(r + 1)
                 keys = runs.mix(keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                counts, sids, bands = [0] * rows, [None] * rows, [None] * rows
+                counts, ones, twos, bands = [0] * rows, [None] * rows, [None] * rows, [None] * rows
                 for j, i in enumerate(full.tolist()):
                     own = np.unique(hashes[borders[i] : borders[i + 1]])
                     counts[i], bands[i] = len(own), keys[j]
-                    sids[i] = int((runs.mix(own ^ np.uint64(len(own))).sum(dtype=np.uint64)).view(np.int64))
+                    ones[i] = int((runs.mix(own ^ np.uint64(len(own))).sum(dtype=np.uint64)).view(np.int64))
+                    twos[i] = int((runs.mix(runs.mix(own + _FLIPS[0]) ^ _FACTORS[0]).sum(dtype=np.uint64)).view(np.int64))
                 part = batch.slice(at, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("row_key", "doc", "doc_id")] + [pa.array(counts, pa.int64()), pa.array(sids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["row_key", "doc", "doc_id", "n_shingles", "sid", "bands"],
+                    [part.column(c) for c in ("row_key", "doc", "doc_id")] + [pa.array(counts, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["row_key", "doc", "doc_id", "n_shingles", "one", "two", "bands"],
                 )
 
     return keyed.select("row_key", "doc", "doc_id", "text").mapInArrow(run, fields)
@@ -218,7 +219,7 @@ def tree_links(sets: list[np.ndarray], sides: list[int], threshold: int) -> list
 
 
 def dealt(members: DataFrame, threshold: int) -> DataFrame:
-    """row_key, sid and the tasks (key, side) of each member (family, sid, row_key, n_shingles).
+    """doc, row_key, sid and the tasks (key, side) of each member (family, sid, doc, row_key, n_shingles).
 
     A family that one task holds is one task. Others are cut into size classes, these into blocks;
     a block meets the blocks of its own class and of the next.
@@ -242,11 +243,11 @@ def dealt(members: DataFrame, threshold: int) -> DataFrame:
     down = F.transform(numbers(at(below)), lambda o: task(below, o, here, F.col("mine"), F.lit(True)))
     alone = F.array(F.struct(F.xxhash64("family").alias("key"), F.lit(0).alias("side")))
     tasks = F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(same, up, down))
-    return placed.withColumn("mine", mine).select("row_key", "sid", tasks.alias("tasks"))
+    return placed.withColumn("mine", mine).select("doc", "row_key", "sid", tasks.alias("tasks"))
 
 
 def family_links(keyed: DataFrame, members: DataFrame, size: int, threshold: int) -> DataFrame:
-    """a, b: links that the trees of all families find. members: family, sid, row_key, n_shingles."""
+    """a, b: links that the trees of all families find. members: family, sid, doc, row_key, n_shingles."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +279,7 @@ def family_links(keyed: DataFrame, members: DataFrame, size: int, threshold: int
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-    texts = keyed.select("row_key", "text").join(dealt(members, threshold).hint("merge"), "row_key").dropDuplicates(["row_key"])
+    texts = keyed.select("doc", "row_key", "text").join(dealt(members, threshold).hint("merge"), ["doc", "row_key"]).dropDuplicates(["doc", "row_key"])
     sets = texts.select("sid", "tasks", "text").mapInArrow(spread, "minimiser long, side int, sid long, shingles binary")
     return sets.repartition("minimiser").sortWithinPartitions("minimiser", "sid").mapInArrow(join, "a long, b long")
 
@@ -286,29 +287,33 @@ def family_links(keyed: DataFrame, members: DataFrame, size: int, threshold: int
 def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int = 75, exact: bool = False) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id (least doc_id reachable), component: one row per document.
 
-    Components may share a least doc_id (a null or repeated one); component (the least sid, null for
-    an empty set) tells them apart. ``exact`` compares all sizes that can link instead of families
+    Components may share a least doc_id (a null or repeated one); component (the least number of a set, null
+    for an empty one) tells them apart. ``exact`` compares all sizes that can link instead of families
     that share a key: for measuring, and for tables of which that is affordable.
     """
     small_batches(docs.sparkSession)
     keyed = runs.with_row_key(docs)
     sets = materialize(set_rows(keyed, size), "sets")
     # Repeated sets collapse here, before anything is dealt out.
-    reps = materialize(sets.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("doc"), F.min(F.struct("row_key", "n_shingles", "bands")).alias("r")).select("sid", "doc", "r.*"), "set-reps")
+    alike = sets.where("one is not null").groupBy("one", "two").agg(F.min(F.struct("doc", "row_key", "n_shingles", "bands")).alias("r")).select("one", "two", "r.*")
+    # Sets are numbered rather than named by a hash; written once, so every later step sees the same numbers.
+    reps = materialize(alike.withColumn("sid", F.monotonically_increasing_id()), "set-reps")
     if exact:
-        members = reps.select(F.lit(0).cast("long").alias("family"), "sid", "row_key", "n_shingles")
+        members = reps.select(F.lit(0).cast("long").alias("family"), "sid", "doc", "row_key", "n_shingles")
     else:
         placed = reps.select("sid", F.explode("bands").alias("key"))
-        near = placed.select(F.col("sid").alias("a"), F.min("sid").over(Window.partitionBy("key").orderBy("sid")).alias("b")).where("a <> b")
+        # Minima are summed up before they are dealt out, and written, so that a key of very many sets can be split.
+        least = materialize(placed.groupBy("key").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "key-minima")
+        near = placed.join(least.hint("merge"), "key").select(F.col("sid").alias("a"), "b").where("a <> b")
         families = materialize(components(near), "families")
-        members = families.select(F.col("node").alias("sid"), F.col("component").alias("family")).join(reps.select("sid", "row_key", "n_shingles").hint("merge"), "sid")
+        members = families.select(F.col("node").alias("sid"), F.col("component").alias("family")).join(reps.select("sid", "doc", "row_key", "n_shingles").hint("merge"), "sid")
     links = family_links(keyed, materialize(members, "family-members"), size, threshold)
     final = materialize(components(links), "components")
-    named = reps.select("sid", "doc").join(final.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = reps.select("sid", "one", "two", "doc").join(final.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
-    by_set = named.join(least, "component").select("sid", "component", "least")
+    by_set = named.join(least, "component").select("one", "two", "component", "least")
     own = F.coalesce(F.col("least"), F.col("doc"))
-    return sets.drop("bands").join(by_set, "sid", "left").select("doc_id", "row_key", "n_shingles", F.when(own != -(2**63), own).alias("component_id"), "component")
+    return sets.drop("bands").join(by_set, ["one", "two"], "left").select("doc_id", "row_key", "n_shingles", F.when(own != -(2**63), own).alias("component_id"), "component")
 
 
 def op2_signature_tree_join(spark, sf_dir: str) -> DataFrame:

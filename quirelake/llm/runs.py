@@ -195,7 +195,11 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """doc_id (null as the least number), text (null as empty) and a key of both."""
+    """doc_id, text (null as empty), doc (doc_id, or the least number) and row_key, a hash of both.
+
+    Rows are told apart by doc and row_key together, so unlike documents under ids of their own are
+    never taken for one, whatever their hashes.
+    """
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return ready.withColumns({"row_key": F.xxhash64("doc_id", "text"), "doc": F.coalesce("doc_id", F.lit(-(2**63)))})
 
@@ -328,7 +332,7 @@ def settle(runs: DataFrame, same_document: bool) -> DataFrame:
 
 def fetch_strings(keyed: DataFrame, open_runs: DataFrame, shape: Shape) -> DataFrame:
     """minimiser, strings, doc, row_key, start and the packed string of every open run."""
-    wanted = open_runs.distinct().groupBy("row_key").agg(F.collect_list(F.struct("minimiser", "start", "number", "strings")).alias("wanted"))
+    wanted = open_runs.distinct().groupBy("doc", "row_key").agg(F.collect_list(F.struct("minimiser", "start", "number", "strings")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,7 +358,7 @@ def fetch_strings(keyed: DataFrame, open_runs: DataFrame, shape: Shape) -> DataF
                     ["minimiser", "strings", "doc", "row_key", "start", "packed"],
                 )
 
-    joined = keyed.select("row_key", "doc", "text").join(wanted, "row_key")
+    joined = keyed.select("row_key", "doc", "text").join(wanted, ["doc", "row_key"])
     return joined.select("row_key", "doc", "text", "wanted").mapInArrow(run, "minimiser long, strings long, doc long, row_key long, start int, packed binary")
 
 
@@ -387,7 +391,7 @@ def compare_hot(strings: DataFrame, shape: Shape, same_document: bool) -> DataFr
     singles = materialize(window_rows(strings, shape), "hot-windows")
     first = singles.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = F.struct("doc", "start") > F.col("first") if same_document else F.col("doc") > F.col("first.doc")
-    return singles.join(first, ["one", "two"]).where(later).select("row_key", "start", (F.col("start") + shape.window).alias("stop"))
+    return singles.join(first, ["one", "two"]).where(later).select("doc", "row_key", "start", (F.col("start") + shape.window).alias("stop"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], most_rows: int, most_bytes: int = 64 << 20) -> Iterator[pa.Table]:
@@ -414,39 +418,39 @@ def whole_groups(batches: Iterator[pa.RecordBatch], most_rows: int, most_bytes:
         yield pa.Table.from_batches(held)
 
 
-def marked_spans(keys: np.ndarray, starts: np.ndarray, window: int) -> pa.RecordBatch:
+def marked_spans(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, window: int) -> pa.RecordBatch:
     """Joins marked windows that follow each other in one document."""
-    order = np.lexsort((starts, keys))
-    keys, starts = keys[order], starts[order]
+    order = np.lexsort((starts, keys, docs))
+    docs, keys, starts = docs[order], keys[order], starts[order]
     fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + window)
+    fresh[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + window)
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(keys))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(starts[first].astype(np.int32)), pa.array((starts[last] + window).astype(np.int32))], ["row_key", "start", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(docs[first]), pa.array(keys[first]), pa.array(starts[first].astype(np.int32)), pa.array((starts[last] + window).astype(np.int32))], ["doc", "row_key", "start", "stop"])
 
 
 def removal_spans(docs: DataFrame, shape: Shape, same_document: bool, compare: Callable[[pa.Table, Shape], pa.RecordBatch], together: int) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, spans row_key/start/stop in symbols to remove).
+    """(keyed documents, spans doc/row_key/start/stop in symbols to remove).
 
     ``together`` is about the number of strings that one call of ``compare`` gets.
     """
     keyed = with_row_key(docs)
     settled = materialize(settle(run_rows(keyed, shape, same_document), same_document), "settled-runs", free=True)
-    spans = settled.where("strings = 0").select("row_key", "start", (F.col("start") + F.col("number") + (shape.window - 1)).alias("stop"))
-    strings = materialize(fetch_strings(keyed, settled.where("strings > 0").drop("doc"), shape), "strings-open", free=True)
+    spans = settled.where("strings = 0").select("doc", "row_key", "start", (F.col("start") + F.col("number") + (shape.window - 1)).alias("stop"))
+    strings = materialize(fetch_strings(keyed, settled.where("strings > 0"), shape), "strings-open", free=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, together):
             yield compare(table, shape)
 
-    usual = strings.where(F.col("strings") <= HOT).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "row_key long, start int, stop int")
+    usual = strings.where(F.col("strings") <= HOT).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "doc long, row_key long, start int, stop int")
     return keyed, materialize(spans.unionByName(usual).unionByName(compare_hot(strings.where(F.col("strings") > HOT), shape, same_document)), "spans")
 
 
 def spans_by_document(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """keyed documents with the sorted list of their spans (null where nothing goes)."""
-    lists = spans.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    return keyed.join(lists, "row_key", "left")
+    lists = spans.groupBy("doc", "row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    return keyed.join(lists, ["doc", "row_key"], "left")
 
 
 def union_of(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -104,7 +104,7 @@ def order_windows(table: pa.Table, shape: runs.Shape) -> pa.RecordBatch:
     head[1:] = interval[order[1:]] != interval[order[:-1]]
     first = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else order
     marked = order[(doc[order] > doc[first]) | (place[order] > place[first])]
-    return runs.marked_spans(keys[string[marked]], place[marked], shape.window)
+    return runs.marked_spans(doc[marked], keys[string[marked]], place[marked], shape.window)
 
 
 def remove_repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

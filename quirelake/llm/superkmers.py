@@ -39,7 +39,7 @@ def sort_windows(table: pa.Table, shape: runs.Shape) -> pa.RecordBatch:
     fresh[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
     least = doc[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(order) else doc
     marked = order[doc[order] > least]
-    return runs.marked_spans(keys[own[marked]], begin[own[marked]] + nth[marked], shape.window)
+    return runs.marked_spans(doc[marked], keys[own[marked]], begin[own[marked]] + nth[marked], shape.window)
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
