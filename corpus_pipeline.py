@@ -11,8 +11,9 @@ last return the columns of documents.
 
 Cases, for every stage: null, empty and very long texts pass like any other (a null or empty text is
 neither toxic nor similar nor contaminated, has no lines, and is packed as its end mark alone); null
-and repeated ids are told apart by their texts; of rows repeated as a whole near_duplicates keeps
-one if they have words; ties go to the smaller id, then to the smaller key of the row; an empty table gives an
+and repeated ids are told apart by their texts; of rows with one id and one text near_duplicates
+keeps one if they have words, the one whose columns are the least when written as JSON; ties go to
+the smaller id, then to the smaller hash of id and text; an empty table gives an
 empty result; further columns, whatever their names, stay as they are up to packing, which returns
 its own. line_dedup changes text, and n_chars with it where there is such a column.
 """
@@ -48,17 +49,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """The row with the least id of every group of similar texts; texts without words stay."""
     found = materialize(jaccard.similarity_components(docs), "near-duplicates").where("n_shingles > 0")
     # Not by component_id: unlike texts under a null or repeated id may share it.
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.row_key")
-    others = found.select("row_key").distinct().join(first, "row_key", "left_anti")
-    kept = boxed(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).join(others, "row_key", "left_anti")
+    key = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "row_key")
+    first = found.groupBy("component").agg(F.min(key).alias("key")).select("key")
+    others = found.select(key.alias("key")).distinct().join(first, "key", "left_anti")
+    keyed = boxed(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("key", key)
+    kept = keyed.join(others, "key", "left_anti")
     # Rows repeated as a whole are one set of one group; texts without words are in no group.
     full = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return kept.where(full).dropDuplicates(["row_key"]).select("row.*").unionByName(kept.where(~full).select("row.*"))
+    # Of rows equal in id and text the one stays whose columns are the least when written as JSON.
+    return kept.where(full).groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*").unionByName(kept.where(~full).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no window of a benchmark item."""
-    keyed = boxed(docs).withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    keyed = decontaminate.with_key(boxed(docs))
     found, _ = decontaminate.matches(keyed.select("doc_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return keyed.join(found.where("phrase").select("doc_key").distinct(), "doc_key", "left_anti").select("row.*")
 
