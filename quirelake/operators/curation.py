@@ -6,10 +6,14 @@ sets, 0.6 on average between all pairs.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirelake.operators.tables import html_to_otsl
+from quirelake.operators.tables import from_html
 
 
 def _similarity(x, y):
@@ -44,25 +48,40 @@ def chat_records(turns: DataFrame) -> DataFrame:
     return listed.select("conv_id", F.size(F.filter("m", lambda x: x["role"] == "assistant")).cast("long").alias("n_assistant"), record.alias("record"))
 
 
+def _converted(value: str) -> tuple[str | None, str | None]:
+    """(error, record) of a line: the record as it was, with the content of its assistant messages as OTSL."""
+    try:
+        record = json.loads(value)
+    except ValueError:
+        return "not a JSON text", None
+    messages = record.get("messages") if isinstance(record, dict) else None
+    if not isinstance(record, dict):
+        return "not an object", None
+    if not isinstance(messages, list):
+        return "no list of messages", None
+    if not all(isinstance(m, dict) for m in messages):
+        return "a message is not an object", None
+    said = [m for m in messages if m.get("role") == "assistant"]
+    if not all(isinstance(m.get("content"), str) for m in said):
+        return "an answer is not a text", None
+    if not said:
+        return "no answer", None
+    for message in said:
+        message["content"] = from_html(message["content"])
+    return None, json.dumps(record, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("record", T.StringType())]))
+def converted(values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_converted(v) for v in values], columns=["error", "record"], dtype=object)
+
+
 def checked_records(lines: DataFrame) -> DataFrame:
-    """line, record, error of JSON lines (line, value); blank lines are left out.
+    """The columns of ``lines`` (with value, a JSON line) but value, and error, record; blank lines are left out.
 
-    Assistant contents become OTSL. The error names what is wrong; such rows have no record.
+    Every field of a record stays, whatever it is; only the contents of its assistant messages
+    change, to OTSL. The error says what is wrong; such rows have no record.
     """
-    kind = "struct<messages:array<map<string,string>>>"
-    full = lines.where(F.trim("value") != "").withColumn("json", F.try_parse_json("value"))
-    parsed = full.withColumn("r", F.from_json("value", kind))
-    roles = F.filter(F.col("r.messages"), lambda m: m["role"] == "assistant")
-    shape = F.schema_of_variant("json")
-    error = (
-        F.when(F.col("json").isNull(), "invalid JSON")
-        .when(~shape.startswith("OBJECT"), "each line must be a JSON object")
-        .when(~F.coalesce(F.schema_of_variant(F.try_variant_get("json", "$.messages", "variant")), F.lit("")).startswith("ARRAY"), 'field "messages" must be a list')
-        .when(F.exists(roles, lambda m: m["content"].isNull()), "content must be a string")
-        .when(F.size(roles) <= 0, "no assistant message found")
-    )
-    judged = parsed.withColumn("error", error)
-    spread = judged.where("error is null").select("line", F.posexplode("r.messages").alias("at", "m"))
-    said = spread.select("line", "at", F.col("m.role").alias("role"), F.when(F.col("m.role") == "assistant", html_to_otsl(F.coalesce(F.col("m.content"), F.lit("")))).otherwise(F.col("m.content")).alias("content"))
-    made = said.groupBy("line").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("at", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"))
-    return judged.select("line", "error").join(made, "line", "left")
+    full = lines.where(F.col("value").rlike(r"\S"))
+    made = full.withColumn("made", converted("value"))
+    return made.select(*[c for c in lines.columns if c != "value"], "made.error", "made.record")

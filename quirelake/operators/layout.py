@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,9 @@ from quirelake.functions.text import strip
 
 ITEMS = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x1", "y1", "x2", "y2")] + [T.StructField(n, T.StringType()) for n in ("label", "content")]))
 
+#: Levels of brackets that Python reads in a literal.
+DEEPEST = 200
+
 
 def outermost(text: str, opening: str, closing: str) -> tuple[list[tuple[int, int]], int]:
     """Spans of balanced outermost brackets, quotes ignored, and how many stay open."""
@@ -41,28 +45,33 @@ def list_candidates(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def dict_candidates(text: str) -> list[str]:
-    """Balanced dicts, then what every brace opens, closed where it ends too early.
+def dict_candidates(text: str) -> Iterator[str]:
+    """Balanced dicts, then what every brace opens, closed where it ends too early; each text once, one at a time.
 
     One pass over the text matches braces; a brace without its match takes the rest of the text and
-    as many closing ones as that lacks.
+    as many closing ones as that lacks. What is nested deeper than any literal may be is passed
+    over, so no character is part of more than ``DEEPEST`` candidates of either kind.
     """
-    ends: dict[int, int] = {}
-    waiting: list[int] = []
+    ends: dict[int, tuple[int, int]] = {}  # by start: the end and the depth inside
+    waiting: list[tuple[int, int]] = []
     for at, c in enumerate(text):
         if c == "{":
-            waiting.append(at)
+            waiting.append((at, 0))
         elif c == "}" and waiting:
-            ends[waiting.pop()] = at + 1
-    found = [text[a:b] for a, b in outermost(text, "{", "}")[0]]
-    missing = len(waiting)
-    for at in (k for k, c in enumerate(text) if c == "{"):
-        if at in ends:
-            found.append(text[at : ends[at]])
-        else:  # those that stay open behind it, and itself
-            found.append(text[at:] + "}" * missing)
-            missing -= 1
-    return list(dict.fromkeys(found))
+            start, inside = waiting.pop()
+            ends[start] = at + 1, inside + 1
+            if waiting:
+                waiting[-1] = waiting[-1][0], max(waiting[-1][1], inside + 1)
+    open_ = {start: len(waiting) - k for k, (start, _) in enumerate(waiting)}  # braces that lack from there on
+    spans = [(a, b, 0) for a, b in outermost(text, "{", "}")[0] if ends[a][1] <= DEEPEST]
+    spans += [(at, ends[at][0], 0) if at in ends else (at, len(text), open_[at]) for at in sorted([*ends, *open_]) if (ends[at][1] if at in ends else open_[at]) <= DEEPEST]
+    seen: set[bytes] = set()
+    for start, end, lacking in spans:
+        candidate = text[start:end] + "}" * lacking
+        told = hashlib.blake2b(candidate.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if told not in seen:
+            seen.add(told)
+            yield candidate
 
 
 def literal(text: str):

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelake.functions.text import strip
+from quirelake.session import exists, kept
 
 
 @F.pandas_udf(T.StringType())
@@ -20,32 +20,38 @@ def indented(record: pd.Series) -> pd.Series:
 
 
 def write_records(records: DataFrame, folder: str) -> None:
-    """One JSON text per document below ``folder``/name=... (columns name, record); each is written where its row is."""
-    records.select("name", indented("record").alias("value")).write.mode("overwrite").partitionBy("name").text(folder)
+    """The JSON text of every document (columns name, record) in a bounded number of files below ``folder``.
 
+    Files hold ranges of names in order, so that their statistics are the index: who looks for a
+    name opens one file. Names stay text as they are; one that comes twice keeps all its records.
+    """
+    told = records.select(F.col("name").cast("string").alias("name"), indented("record").alias("record"))
+    told.repartitionByRange("name").sortWithinPartitions("name", "record").write.mode("overwrite").parquet(folder)
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """name, record of every document in the order of their paths; no row where nothing was written."""
-    try:
-        found = spark.read.text(folder, wholetext=True)
-    except AnalysisException:
-        return spark.createDataFrame([], "name string, record string")
-    if "name" not in found.columns:
+
+def read_records(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """name, record of every document (or of those named) by name; no row where nothing was written."""
+    if not exists(spark, folder):
         return spark.createDataFrame([], "name string, record string")
-    return found.select(F.col("name").cast("string").alias("name"), F.col("value").alias("record")).orderBy("name")
+    found = spark.read.schema("name string, record string").parquet(folder)
+    return (found if names is None else found.where(F.col("name").isin(names))).orderBy("name", "record")
 
 
 def write_combined(records: DataFrame, folder: str) -> None:
     """All records as one JSON list in input order (columns doc_idx, record).
 
     The list is cut into part files: read in the order of their names, line by line, they are one
-    JSON text. Only the first and last number reach the driver.
+    JSON text. Records of one doc_idx follow each other in any order, those without one come last;
+    null records are left out. Only the first place reaches the driver.
     """
-    ends = records.agg(F.min("doc_idx").alias("first"), F.max("doc_idx").alias("last")).first()
     spark = records.sparkSession
-    lines = records.select("doc_idx", F.concat(F.when(F.col("doc_idx") == ends["first"], "[").otherwise(","), indented("record")).alias("value"))
-    closing = spark.createDataFrame([((ends["last"] or 0) + 1, "[]" if ends["first"] is None else "]")], "doc_idx long, value string")
-    lines.unionByName(closing).orderBy("doc_idx").select("value").write.mode("overwrite").text(folder)
+    place = F.struct(F.col("doc_idx").isNull().alias("last"), "doc_idx", "row")
+    # Numbered and written, so that exactly one row is the first.
+    told = kept(records.where("record is not null").select("doc_idx", indented("record").alias("value"), F.monotonically_increasing_id().alias("row")))
+    first = told.agg(F.min(place).alias("p")).first()["p"]
+    opened = told.select(F.lit(0).alias("kind"), place.alias("place"), F.concat(F.when(F.col("row") == (first["row"] if first else -1), "[").otherwise(","), "value").alias("value"))
+    closing = spark.range(1).select(F.lit(1).alias("kind"), F.lit(None).cast(opened.schema["place"].dataType).alias("place"), F.lit("]" if first else "[]").alias("value"))
+    opened.unionByName(closing).orderBy("kind", "place").select("value").write.mode("overwrite").text(folder)
 
 
 def read_combined(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -54,10 +60,9 @@ def read_combined(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     Every record but the first starts a line with a comma, so the parts are read as records apart,
     however large the list.
     """
-    try:
-        text = spark.read.option("lineSep", "\n").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    except AnalysisException:
+    if not exists(spark, folder):
         return spark.createDataFrame([], f"position long, {schema}")
+    text = spark.read.option("lineSep", "\n").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     numbered = line_numbers(text)
     begins = numbered.withColumn("record_no", F.sum(F.when(F.col("value").rlike(r"^[\[,]"), 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     own = begins.where(~F.col("value").isin("]", "[]")).groupBy("file", "record_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("json"), F.min("line").alias("line"))

@@ -32,48 +32,57 @@ def _folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-_RECORD = "image_name string, n_layouts long, first string"
+_RECORD = "image_name string, layouts array<struct<label:string,content:string,page_num:int>>"
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_idx, name, record: a result record of every document, its first line among it."""
-    docs = read(spark, sf_dir, "documents")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-    record = F.to_json(F.struct(name.alias("image_name"), F.size(lines).cast("long").alias("n_layouts"), lines[0].alias("first")))
-    return docs.select(F.col("doc_id").alias("doc_idx"), name.alias("name"), record.alias("record"))
+    """doc_idx, name, record: a result record of every document with all its layouts; names are numbers with leading zeros."""
+    found = blocks.formatted(blocks.blocks_of(read(spark, sf_dir, "documents")))
+    listed = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "label", "content"))), lambda b: F.struct(b["label"].alias("label"), b["content"].alias("content"), F.lit(1).alias("page_num"))).alias("layouts"))
+    name = F.format_string("%06d", F.col("doc_id"))
+    return listed.select(F.col("doc_id").alias("doc_idx"), name.alias("name"), F.to_json(F.struct(name.alias("image_name"), "layouts")).alias("record"))
 
 
-@query("select 'doc' || doc_id as name, len(string_split(coalesce(text, ''), chr(10))) as n_layouts, string_split(coalesce(text, ''), chr(10))[1] as first from documents")
+@query(f"with {_BLOCKS} select printf('%06d', doc_id) as name, block_idx as place, label, content from formatted")
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result records written as one JSON file per document and read back."""
+    """Result records written by name into a bounded number of files, read back, and all their layouts."""
     folder = _folder(spark, "records")
     results.write_records(_records(spark, sf_dir), folder)
     back = results.read_records(spark, folder)
-    return back.select("name", F.from_json("record", _RECORD).alias("r")).select("name", "r.n_layouts", "r.first")
+    return back.select("name", F.from_json("record", _RECORD).alias("r")).select("name", F.posexplode("r.layouts").alias("place", "l")).select("name", "place", "l.label", "l.content")
 
 
-@query("select row_number() over (order by doc_id) - 1 as position, 'doc' || doc_id as image_name, len(string_split(coalesce(text, ''), chr(10))) as n_layouts, string_split(coalesce(text, ''), chr(10))[1] as first from documents")
+@query(f"""
+with {_BLOCKS}, n as (select doc_id, row_number() over (order by doc_id) - 1 as position from documents)
+select position, printf('%06d', doc_id) as image_name, count(*) as n_layouts, sha256(string_agg(content, chr(10) order by block_idx)) as contents from formatted join n using (doc_id) group by all
+""")
 def combined_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All result records written as one list in input order and read back with their positions."""
+    """All result records written as one list in input order and read back with their positions and layouts."""
     folder = _folder(spark, "combined")
     results.write_combined(_records(spark, sf_dir), folder)
-    return results.read_combined(spark, folder, _RECORD)
+    back = results.read_combined(spark, folder, _RECORD)
+    return back.select("position", "image_name", F.size("layouts").cast("long").alias("n_layouts"), F.sha2(F.array_join("layouts.content", "\n"), 256).alias("contents"))
 
 
 @query("""
-with c as (select conv_id, count(*) filter (role = 'assistant') as n from conversations group by conv_id)
-select case conv_id % 9 when 1 then 'invalid JSON' when 2 then 'each line must be a JSON object' when 3 then 'field "messages" must be a list' else case when n = 0 then 'no assistant message found' end end as error, count(*) as n from c group by 1
+with c as (select conv_id, count(*) filter (role = 'assistant') as n, count(*) as n_messages, sum(length(text)) filter (role <> 'assistant') as asked from conversations group by conv_id),
+l as (select *, row_number() over (order by conv_id) as line, case conv_id % 9 when 1 then 'not a JSON text' when 2 then 'not an object' when 3 then 'no list of messages' else case when n = 0 then 'no answer' end end as error from c)
+select line, error, case when error is null then conv_id end as id, case when error is null then 'img' || conv_id || '.png' end as image, case when error is null then n_messages end as n_messages, case when error is null then asked end as asked from l
 """)
 def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat records written as JSON lines, some of them broken, and read back with what is wrong with each."""
+    """Chat records with ids and images written as one file of JSON lines, some of them broken; read back by line number, with what is wrong with each and what the good ones kept."""
     made = curation.chat_records(read(spark, sf_dir, "conversations"))
     k = F.col("conv_id") % 9
-    value = F.when(k == 1, F.left("record", F.length("record") - 1)).when(k == 2, F.lit("[1, 2]")).when(k == 3, F.lit('{"messages": 3}')).otherwise(F.col("record"))
+    more = F.concat(F.lit('{"images": ["img'), F.col("conv_id"), F.lit('.png"], "id": '), F.col("conv_id"), F.lit(", "), F.substring("record", 2, 1 << 30))
+    value = F.when(k == 1, F.left(more, F.length(more) - 1)).when(k == 2, F.lit("[1, 2]")).when(k == 3, F.lit('{"messages": 3}')).otherwise(more)
     folder = _folder(spark, "chat")
-    made.select(value.alias("value")).write.text(folder)
-    lines = results.read_lines(spark, folder).select(F.xxhash64("file", "line").alias("line"), "value")
-    return curation.checked_records(lines).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    made.select("conv_id", value.alias("value")).orderBy("conv_id").select("value").coalesce(1).write.text(folder)  # one file, for one numbering of its lines
+    judged = curation.checked_records(results.read_lines(spark, folder).select("line", "value"))
+    kind = "images array<string>, id long, messages array<struct<role:string,content:string>>"
+    parsed = judged.withColumn("r", F.from_json("record", kind))
+    asked = F.aggregate(F.filter("r.messages", lambda m: m["role"] != "assistant"), F.lit(0).cast("long"), lambda n, m: n + F.length(m["content"]))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    return parsed.select("line", "error", "r.id", F.col("r.images")[0].alias("image"), good(F.size("r.messages").cast("long")).alias("n_messages"), good(asked).alias("asked"))
 
 
 class _Flaky:

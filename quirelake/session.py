@@ -28,6 +28,12 @@ def build_session(app: str = "quirelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 _LOCAL: list[str] = []
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import INPUT_SUFFIXES
+from quirelake.session import exists
 
 
 def list_inputs(spark: SparkSession, path: str) -> DataFrame:
@@ -28,12 +29,15 @@ def pages_of(documents: DataFrame) -> DataFrame:
 
 
 def write_markdown(pages: DataFrame, folder: str) -> None:
-    """One text file per document below ``folder``/stem=... (columns stem, markdown)."""
-    pages.select("stem", F.col("markdown").alias("value")).repartition("stem").write.mode("overwrite").partitionBy("stem").text(folder)
+    """The Markdown of every document (columns stem, markdown) in a bounded number of files below ``folder``, ranges of stems in order."""
+    told = pages.select(F.col("stem").cast("string").alias("stem"), F.col("markdown").alias("value"))
+    told.repartitionByRange("stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(folder)
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.text(folder, wholetext=True)
+    """stem, value by stem; no row where nothing was written."""
+    kind = "stem string, value string"
+    return spark.read.schema(kind).parquet(folder).orderBy("stem") if exists(spark, folder) else spark.createDataFrame([], kind)
 
 
 def read_listed(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

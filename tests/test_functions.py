@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quirelake.functions import geometry, text
@@ -145,7 +147,40 @@ def test_tolerant_items():
 
 
 def test_dict_candidates_close_every_open_brace():
-    assert layout.dict_candidates("x {a {b} {c") == ["{a {b} {c}}", "{b}", "{c}"]
-    assert layout.dict_candidates("}{}{") == ["{}"]
+    assert list(layout.dict_candidates("x {a {b} {c")) == ["{a {b} {c}}", "{b}", "{c}"]
+    assert list(layout.dict_candidates("}{}{")) == ["{}"]
     deep = "{" * 3000
-    assert len(layout.dict_candidates(deep)) == 3000
+    assert len(list(layout.dict_candidates(deep))) == layout.DEEPEST  # deeper ones are no literals
+
+
+def quadratic_candidates(text):
+    """Every brace with the rest it takes, restated without a limit."""
+    found = [text[a:b] for a, b in layout.outermost(text, "{", "}")[0]]
+    for at in (k for k, c in enumerate(text) if c == "{"):
+        depth = 0
+        for k in range(at, len(text)):
+            depth += (text[k] == "{") - (text[k] == "}")
+            if depth == 0:
+                found.append(text[at : k + 1])
+                break
+        else:
+            found.append(text[at:] + "}" * depth)
+    return list(dict.fromkeys(found))
+
+
+@given(st.text("{}a", max_size=24))
+def test_dict_candidates_are_every_brace_with_its_rest(text):
+    assert list(layout.dict_candidates(text)) == quadratic_candidates(text)
+
+
+def test_a_hundred_thousand_braces_take_little_memory_and_time():
+    import time
+    import tracemalloc
+
+    dicts = "{'bbox': [1, 2, 3, 4], 'label': 'Text', 'content': 'x'}"
+    for text, items in (("{" * 100_000, 0), ("{" * 50_000 + "}" * 50_000, 0), (dicts + "{" * 100_000 + dicts.replace("'x'", "'y'"), 2), ("{'a': " * 100_000, 0)):
+        tracemalloc.start()
+        began = time.process_time()
+        assert len(layout.read_items(text)) == items
+        assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()

@@ -23,11 +23,30 @@ def test_combined_list_is_one_json_text(spark, tmp_path):
     assert results.read_combined(spark, str(tmp_path / "missing"), "name string").count() == 0
 
 
+def test_repeated_and_missing_places_make_one_json_text(spark, tmp_path):
+    rows = [(k, json.dumps({"name": n})) for k, n in ((4, "a"), (4, "b"), (4, "b"), (None, "z"), (9, "c"), (None, "y"))]
+    results.write_combined(spark.createDataFrame([*rows, (1, None)], "doc_idx long, record string").repartition(3), str(tmp_path / "all"))
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "all").glob("part-*")))
+    names = [r["name"] for r in json.loads(text)]
+    assert sorted(names[:3]) == ["a", "b", "b"] and names[3] == "c" and sorted(names[4:]) == ["y", "z"]
+    back = results.read_combined(spark, str(tmp_path / "all"), "name string").orderBy("position").collect()
+    assert [r.name for r in back] == names
+
+
 def test_record_files(spark, tmp_path):
-    rows = spark.createDataFrame([("b", '{"x":[1,2],"t":"é"}'), ("a", "[]")], "name string, record string")
+    names = ["b", "0012", "7.50", "12", "2024-01-01", "null", "", "ü/x", "0012"]
+    rows = spark.createDataFrame([(n, f'{{"x":[1,2],"t":"é","k":{k}}}') for k, n in enumerate(names)], "name string, record string")
     results.write_records(rows, str(tmp_path / "r"))
-    assert [(r.name, r.record.rstrip("\n")) for r in results.read_records(spark, str(tmp_path / "r")).collect()] == [("a", "[]"), ("b", '{\n "x": [\n  1,\n  2\n ],\n "t": "é"\n}')]
+    back = results.read_records(spark, str(tmp_path / "r")).collect()
+    assert [r.name for r in back] == sorted(names, key=str.encode) and {json.loads(r.record)["k"] for r in back} == set(range(9))
+    assert back[-3].record == '{\n "x": [\n  1,\n  2\n ],\n "t": "é",\n "k": 0\n}'
+    assert len(list((tmp_path / "r").glob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [json.loads(r.record)["k"] for r in results.read_records(spark, str(tmp_path / "r"), ["0012"]).collect()] == [1, 8]
     assert results.read_records(spark, str(tmp_path / "missing")).count() == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_bytes(b"no table")
+    with pytest.raises(Exception, match="x.parquet"):  # an error of reading is no empty result
+        results.read_records(spark, str(tmp_path / "broken")).count()
 
 
 def test_lines_keep_their_numbers(spark, tmp_path):
