@@ -67,10 +67,10 @@ def is_repetitive(text: Column, cut: int = 50) -> Column:
     return has_repeated_ending(text) | shorter
 
 
-# What counts as a formula's closing number, as filler and as an opening environment.
-_NUMBERED = r"(?:\\quad|\\qquad|\\eqno)\s*\(([^()]*)\)\s*$|\\tag\{([^{}]*)\}\s*$"
-_FILLERS = [(r"(?:\\quad\s*){5,}", r"\\quad "), (r"(?:\\qquad\s*){5,}", r"\\qquad ")]
-_OPENING = r"^\\begin\{([^\}]+)\}"
+# Commands before a formula's closing number, and spaces of which five or more are filler.
+_BEFORE_NUMBER = ("\\quad", "\\qquad", "\\eqno")
+_SPACERS = ("\\quad", "\\qquad")
+_FILLER = 5
 
 
 def clean_formula(raw: Column) -> Column:
@@ -80,28 +80,74 @@ def clean_formula(raw: Column) -> Column:
     an earlier number with it when it stands inside an environment. An opening environment is
     written again on lines of its own, closed even where it was not.
     """
-    plain = strip(F.regexp_replace(raw, r"^\$+|\$+\z", ""))
-    for filler, one in _FILLERS:
-        plain = F.regexp_replace(plain, filler, one)
+    plain = strip(F.btrim(raw, F.lit("$")))
+    for spacer in _SPACERS:
+        plain = without_filler(plain, spacer, _FILLER)
     return let(strip(plain), lambda b: let(_without_number(b, F.lit(None).cast("string")), _without_environment))
 
 
+def without_filler(text: Column, spacer: str, least: int) -> Column:
+    """``least`` or more spacers in a row, with white space alone between them, as one spacer and a blank.
+
+    The text is cut at the spacers and put together again piece by piece; a run that goes on is
+    held back as it was written until a piece with something in it ends it.
+    """
+    start = lambda done: F.struct(done.alias("done"), F.lit(0).alias("run"), F.lit("").alias("held"))
+
+    def add(state: Column, piece: Column) -> Column:
+        run, held = state["run"] + 1, F.concat(state["held"], F.lit(spacer), piece)
+        ended = F.concat(state["done"], F.when(run >= least, F.concat(F.lit(spacer + " "), lstrip(piece))).otherwise(held))
+        return F.when(strip(piece) == "", F.struct(state["done"].alias("done"), run.alias("run"), held.alias("held"))).otherwise(start(ended))
+
+    def end(state: Column) -> Column:
+        return F.concat(state["done"], F.when(state["run"] >= least, F.lit(spacer + " ")).otherwise(state["held"]))
+
+    def joined(pieces: Column) -> Column:
+        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start(pieces[0]), add, end)
+
+    return F.when(F.contains(text, F.lit(spacer)), let(F.split(text, r"\Q" + spacer + r"\E"), joined)).otherwise(text)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
 
 
+def _before_last(text: Column, opening: str, closing: str) -> Column:
+    """struct(head, inner) of a text that ends with ``closing``: around the last ``opening``, with neither of the two inside; else null."""
+    cut = F.left(text, F.length(text) - 1)
+    inner = F.substring_index(cut, opening, -1)
+    whole = F.endswith(text, F.lit(closing)) & F.contains(cut, F.lit(opening)) & ~F.contains(inner, F.lit(closing))
+    return F.when(whole, F.struct(F.left(cut, F.length(cut) - F.length(inner) - 1).alias("head"), inner.alias("inner")))
+
+
+def _without_command(text: Column, commands: tuple[str, ...]) -> Column:
+    """``text`` less the one of ``commands`` at its end, and the white space before it; null without one."""
+    return F.coalesce(*[F.when(F.endswith(text, F.lit(c)), rstrip(F.left(text, F.length(text) - len(c)))) for c in commands])
+
+
 def _without_number(body: Column, before: Column) -> Column:
-    """struct(body, number) with a closing number taken off; ``before`` stands where there is none."""
-    found = body.rlike(_NUMBERED)
-    number = F.when(found, F.nullif(F.regexp_extract(body, _NUMBERED, 1), F.lit(""))).otherwise(before)
-    return F.struct(F.when(found, rstrip(F.regexp_replace(body, _NUMBERED, ""))).otherwise(body).alias("body"), number.alias("number"))
+    """struct(body, number) with a closing number or tag taken off; ``before`` stands where there is none."""
+
+    def found(end: Column) -> Column:
+        numbered = let(_before_last(end, "(", ")"), lambda n: F.struct(_without_command(rstrip(n["head"]), _BEFORE_NUMBER).alias("body"), F.nullif(n["inner"], F.lit("")).alias("number")))
+        tagged = let(_before_last(end, "{", "}"), lambda n: F.struct(_without_command(n["head"], ("\\tag",)).alias("body"), F.lit(None).cast("string").alias("number")))
+        as_it_is = F.struct(body.alias("body"), before.alias("number"))
+        return let(F.array(numbered, tagged, as_it_is), lambda ways: F.filter(ways, lambda w: w["body"].isNotNull())[0])
+
+    return F.when(body.isNotNull(), let(rstrip(body), found))
+
+
+def _environment(body: Column) -> Column:
+    """The name of the environment that ``body`` opens with; empty without one."""
+    rest = F.substring(body, len("\\begin{") + 1, 1 << 30)
+    return F.when(F.startswith(body, F.lit("\\begin{")) & F.contains(rest, F.lit("}")), F.substring_index(rest, "}", 1)).otherwise(F.lit(""))
 
 
 def _without_environment(outer: Column) -> Column:
     def inside(env: Column) -> Column:
         closing = F.concat(F.lit(r"\end{"), env, F.lit("}"))
-        whole = let(lstrip(F.regexp_replace(outer["body"], _OPENING, "")), lambda x: let(rstrip(x), lambda t: F.when(F.endswith(t, closing), rstrip(F.left(t, F.length(t) - F.length(closing)))).otherwise(x)))
+        whole = let(lstrip(F.substring(outer["body"], F.length(env) + len("\\begin{}") + 1, F.length(outer["body"]))), lambda x: let(rstrip(x), lambda t: F.when(F.endswith(t, closing), rstrip(F.left(t, F.length(t) - F.length(closing)))).otherwise(x)))
         inner = F.when(env == "", outer["body"]).otherwise(whole)
 
         def closed(got: Column) -> Column:
@@ -110,7 +156,7 @@ def _without_environment(outer: Column) -> Column:
 
         return let(let(inner, lambda b: _without_number(b, outer["number"])), closed)
 
-    return let(F.regexp_extract(outer["body"], _OPENING, 1), inside)
+    return let(_environment(outer["body"]), inside)
 
 
 def format_block(label: Column, raw: Column, prompted: Column, table: Column, image: Column) -> Column:

@@ -64,8 +64,8 @@ def test_block_formats(spark):
 
 def test_artifact_names(spark):
     assert one(spark, text.artifact_name(F.col("s"), F.lit(".zip")), s="a.b") == "a.b.zip"
-    long = one(spark, text.artifact_name(F.col("s"), F.lit("_results.zip")), s="文" * 200)
-    assert len(long.encode()) <= 255 and long.endswith("_results.zip") and long.startswith("文文")
+    long = one(spark, text.artifact_name(F.col("s"), F.lit("_pages.tar")), s="界" * 137)
+    assert len(long.encode()) <= 255 and long.endswith("_pages.tar") and long.startswith("界界")
 
 
 @pytest.mark.parametrize(
@@ -184,3 +184,29 @@ def test_a_hundred_thousand_braces_take_little_memory_and_time():
         assert len(layout.read_items(text)) == items
         assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 200 << 20
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("a", "a"), (r"\quad\quad\quad\quad x", r"\quad\quad\quad\quad x"), (r"\quad\quad \quad\quad\quad  x", r"\quad x"), (r"a\quad\quad\quad\quad\quad", r"a\quad "), (r"\quad b\quad\quad\quad\quad\quad\quad c\quad d", r"\quad b\quad c\quad d"), (r"\qquad\quad", r"\qquad\quad"), ("", "")],
+)
+def test_filler_goes_in_runs_of_five(spark, raw, want):
+    assert one(spark, text.without_filler(F.col("s"), r"\quad", 5), s=raw) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "body", "number"),
+    [
+        (r"u \eqno(12) ", "u", "12"), (r"u \qquad  (a.b)", "u", "a.b"), (r"u (3)", r"u (3)", None), (r"u \quad ((3)", r"u \quad ((3)", None), (r"u \quad ()", "u", None), (r"u \quad (3) v", r"u \quad (3) v", None),
+        (r"u\tag{}", "u", None), (r"u \tag {3}", r"u \tag {3}", None), (r"u \tag{{3}", r"u \tag{{3}", None), (r")", ")", None), (r"}", "}", None), (r"\quad(9)", "", "9"),
+        (r"\begin{}x", r"\begin{}x", None), (r"\begin{e", r"\begin{e", None), (r"\begin{e}x\end{e} \quad (4)", "\\begin{e}\nx\n\\end{e}", "4"), (r"\begin{e}x \quad (5)\end{e}", "\\begin{e}\nx\n\\end{e}", "5"),
+    ],
+)
+def test_closing_numbers_and_environments(spark, raw, body, number):
+    got = one(spark, text.clean_formula(F.col("s")), s=raw)
+    assert (got["body"], got["number"]) == (body, number)
+
+
+def test_marks_of_a_line():
+    assert list(tables.marks("x<fcel>a <b<ecel><Lcel><lcel>t\n")) == [("fcel", "a <b"), ("ecel", "<Lcel>"), ("lcel", "t")]
+    assert list(tables.marks("<fcel>a\nb<ecel>\n\n<ucel>")) == [("ucel", "")] and list(tables.marks("no marks")) == []
