@@ -48,17 +48,19 @@ def lstrip(text: Column) -> Column:
 def has_repeated_ending(text: Column, longest: int = 250) -> Column:
     """Whether the last L characters stand at the end more than int(4 * (1 + 3 / L)) times, for an L up to ``longest``."""
 
-    def found(end: Column) -> Column:
+    def found(chars: Column) -> Column:
         def at(size: Column) -> Column:
             times = (F.lit(5) + F.floor(F.lit(12) / size)).cast("int")
-            return (F.length(end) >= times * size) & (F.right(end, times * size) == F.repeat(F.right(end, size), times))
+            most = (times - 1) * size
+            # The character one length back differs for most lengths, so few stretches are compared.
+            return (F.size(chars) >= times * size) & (F.get(chars, size) == F.get(chars, F.lit(0))) & (F.slice(chars, F.lit(1), most) == F.slice(chars, size + 1, most))
 
         # Five copies at least have to fit, so short texts need few lengths.
-        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.floor(F.length(end) / 5)).cast("int"))
-        return F.coalesce(F.when(F.length(end) >= 5, F.exists(lengths, at)), F.lit(False))
+        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.floor(F.size(chars) / 5)).cast("int"))
+        return F.coalesce(F.when(F.size(chars) >= 5, F.exists(lengths, at)), F.lit(False))
 
-    # The copies of no length reach further back than 5 * longest + 12; the array has this end cut once a text.
-    return F.exists(F.array(F.right(text, F.lit(5 * longest + 12))), found)
+    # The copies of no length reach further back than 5 * longest + 12; the characters are listed once a text, the last one first.
+    return F.exists(F.array(F.split(F.reverse(F.right(text, F.lit(5 * longest + 12))), "")), found)
 
 
 def is_repetitive(text: Column, cut: int = 50) -> Column:
