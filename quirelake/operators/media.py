@@ -20,20 +20,52 @@ MOST_ASPECT = 200
 #: Bytes of one compressed PDF stream that are looked at.
 MOST_STREAM = 64 << 20
 _PAGE = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
-_STREAM = re.compile(rb"/ObjStm\b[^\0]{0,400}?\bstream\r?\n", re.S)
+_OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+\d{1,5}\s+obj\b")
+_PACKED = re.compile(rb"/Type\s*/ObjStm\b")
+
+
+def _entry(body: bytes, name: bytes) -> int | None:
+    """The first number behind a name of a dictionary (of a reference, its object)."""
+    found = re.search(rb"/" + name + rb"\s+(\d+)", body)
+    return int(found[1]) if found else None
+
+
+def _unpacked(body: bytes) -> Iterator[tuple[int, bytes]]:
+    """Objects (number, body) of an object stream; none where it can't be read, as in encrypted files."""
+    start = re.search(rb"\bstream\r?\n", body)
+    try:
+        held = zlib.decompressobj().decompress(body[start.end() :], MOST_STREAM)
+        first, many = _entry(body, b"First"), _entry(body, b"N")
+        numbers = list(map(int, held[:first].split()[: 2 * many]))
+        places = [*numbers[1::2], len(held) - first]
+    except (AttributeError, TypeError, ValueError, zlib.error):
+        return
+    for number, start, end in zip(numbers[::2], places, places[1:], strict=False):
+        yield number, held[first + start : first + end]
 
 
 def page_count(data: bytes | None) -> int | None:
-    """Pages of a PDF: page objects in the file and in its compressed object streams; None if it is no PDF."""
+    """Pages of a PDF; None if it is no PDF.
+
+    Of an object that updates have written several times the last one counts. The page tree of the
+    last root says how many pages there are; where it can't be followed (a damaged or encrypted
+    file), the page objects are counted, each number once.
+    """
     if not data or b"%PDF-" not in data[:1024]:
         return None
-    found = len(_PAGE.findall(data))
-    for stream in _STREAM.finditer(data):
-        try:
-            found += len(_PAGE.findall(zlib.decompressobj().decompress(data[stream.end() :], MOST_STREAM)))
-        except zlib.error:
-            continue
-    return found
+    objects: dict[int, bytes | tuple[int, int]] = {}  # plain ones as their place, so that nothing is copied
+    for found in _OBJECT.finditer(data):
+        end = data.find(b"endobj", found.end())
+        place = found.end(), end if end >= 0 else len(data)
+        objects[int(found[1])] = place
+        if _PACKED.search(data, place[0], min(place[1], place[0] + 1024)):
+            objects |= _unpacked(data[place[0] : place[1]])
+    body = lambda number: data[slice(*x)] if isinstance(x := objects.get(number, b""), tuple) else x
+    roots = re.findall(rb"/Root\s+(\d+)", data)
+    if roots and (top := _entry(body(int(roots[-1])), b"Pages")) is not None and (count := _entry(body(top), b"Count")) is not None:
+        return count
+    plain = sum(bool(_PAGE.search(data, *x) if isinstance(x, tuple) else _PAGE.search(x)) for x in objects.values())
+    return plain if objects else len(_PAGE.findall(data))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -60,7 +92,7 @@ def upload_error(length: Column, pages: Column, most_bytes: int, most_pages: int
 
 
 def image_header(data: bytes | None) -> tuple[str, int, int, int] | None:
-    """(format, width, height, orientation) of a PNG, GIF, BMP or JPEG image; only a JPEG's orientation is looked at."""
+    """(format, width, height, orientation) of a PNG, GIF, BMP, JPEG, WebP or TIFF image; only a JPEG's orientation is looked at."""
     if not data:
         return None
     try:
@@ -71,11 +103,42 @@ def image_header(data: bytes | None) -> tuple[str, int, int, int] | None:
         if data.startswith(b"BM"):
             width, height = struct.unpack("<ii", data[18:26])
             return "bmp", width, abs(height), 1
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            return _webp(data)
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff(data)
         return _jpeg(data) if data.startswith(b"\xff\xd8") else None
     except (struct.error, IndexError):
         return None
 
 
+def _webp(data: bytes) -> tuple[str, int, int, int] | None:
+    """A WebP image's first chunk tells its size: lossy, lossless, or the canvas of an extended file."""
+    kind, body = data[12:16], data[20:30]
+    if kind == b"VP8 " and body[3:6] == b"\x9d\x01\x2a":
+        width, height = struct.unpack("<HH", body[6:10])
+        return "webp", width & 0x3FFF, height & 0x3FFF, 1
+    if kind == b"VP8L" and body[:1] == b"\x2f":
+        (bits,) = struct.unpack("<I", body[1:5])
+        return "webp", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), 1
+    if kind == b"VP8X" and len(body) == 10:
+        return "webp", 1 + int.from_bytes(body[4:7], "little"), 1 + int.from_bytes(body[7:10], "little"), 1
+    return None
+
+
+def _tiff(data: bytes) -> tuple[str, int, int, int] | None:
+    """Width and height of a TIFF file's first directory, as short or long numbers."""
+    order = "<" if data[:2] == b"II" else ">"
+    (at,) = struct.unpack(order + "I", data[4:8])
+    (n,) = struct.unpack(order + "H", data[at : at + 2])
+    sizes = {}
+    for k in range(n):
+        tag, kind = struct.unpack(order + "HH", data[at + 2 + 12 * k : at + 6 + 12 * k])
+        if tag in (0x0100, 0x0101) and kind in (3, 4):
+            (sizes[tag],) = struct.unpack(order + ("H" if kind == 3 else "I"), data[at + 10 + 12 * k : at + (12 if kind == 3 else 14) + 12 * k])
+    return ("tiff", sizes[0x0100], sizes[0x0101], 1) if len(sizes) == 2 else None
+
+
 def _jpeg(data: bytes) -> tuple[str, int, int, int] | None:
     at, orientation = 2, 1
     while at + 4 <= len(data) and data[at] == 0xFF:

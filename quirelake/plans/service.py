@@ -300,16 +300,19 @@ def arabic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select doc_id, cast(1 + n_chars // 700 as int) as n from documents where doc_id % 17 <> 4)
-select doc_id, n as page_count, cast(unnest(range(0, least(n, 3))) as int) as page_idx, case when n > 12 then 'PageLimitExceededError' end as error from p
+with p as (select doc_id, n_chars, cast(1 + n_chars // 700 as int) as n from documents where doc_id % 17 <> 4)
+select doc_id, n as page_count, cast(unnest(range(0, least(n, 3))) as int) as page_idx, case when n_chars > 15000 then 'UploadTooLargeError' when n > 12 then 'PageLimitExceededError' end as error from p
 """)
 def pdf_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three pages of made-up PDF files, some of them no PDF, and the limit that a file breaks."""
+    """The first three pages of PDF files made for documents, every third one updated since, some of them no PDF, and the limit that a file breaks."""
     n = (1 + F.floor(F.col("n_chars") / 700)).cast("int")
-    body = F.concat(F.when(F.col("doc_id") % 17 == 4, "%PS-").otherwise("%PDF-1.7\n"), F.repeat(F.lit("9 0 obj << /Type /Page /Parent 1 0 R >> endobj\n"), n), F.lit("1 0 obj << /Type /Pages >> endobj"))
-    files = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), body.cast("binary").alias("content"))
-    pages = media.pdf_pages(files, 3)
-    return pages.select(F.col("name").alias("doc_id"), "page_count", "page_idx", media.upload_error(F.lit(0), F.col("page_count"), 1, 12).alias("error"))
+    page = lambda number: F.concat(number.cast("string"), F.lit(" 0 obj << /Type /Page /Parent 2 0 R >> endobj\n"))
+    tree = F.concat(F.lit("1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Count "), n.cast("string"), F.lit(" >> endobj trailer << /Root 1 0 R >>\n"))
+    whole = F.concat(F.array_join(F.transform(F.sequence(F.lit(10), n + 9), page), ""), tree, F.when(F.col("doc_id") % 3 == 0, F.concat(page(F.lit(10)), F.lit("trailer << /Root 1 0 R >>"))).otherwise(""))
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("name"), F.concat(F.when(F.col("doc_id") % 17 == 4, "%PS-").otherwise("%PDF-1.7\n"), whole).cast("binary").alias("content"))
+    pages = media.pdf_pages(files, 3).withColumnRenamed("name", "doc_id").join(docs.select("doc_id", "n_chars"), "doc_id")
+    return pages.select("doc_id", "page_count", "page_idx", media.upload_error(F.col("n_chars"), F.col("page_count"), 15_000, 12).alias("error"))
 
 
 @query("""
@@ -360,11 +363,11 @@ def reused_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select 'doc' || doc_id as name, least(3, 1 + n_chars // 3000)::int as page_count, true as is_pdf from documents
+select 'doc' || doc_id as name, (1 + n_chars // 3000)::int as page_count, true as is_pdf from documents
 """)
 def layout_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlays with the boxes of up to three pages of every document; their pages are counted again from the files."""
-    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.floor(F.col("n_chars") / 3000).cast("int")))).alias("page_idx"))
+    """Overlays with the boxes of all pages of every document; their pages are counted again from the files."""
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 3000).cast("int"))).alias("page_idx"))
     box = F.struct(F.lit(10).alias("x1"), (F.col("page_idx") * 20).alias("y1"), F.lit(90).alias("x2"), (F.col("page_idx") * 20 + 15).alias("y2"), F.lit("Text (1)").alias("label"))
     made = media.overlays(docs.withColumns({"width": F.lit(600), "height": F.lit(800), "boxes": F.array(box)}))
     return made.select("name", media.pdf_page_count("pdf").alias("page_count"), media.looks_like_pdf(F.col("pdf")).alias("is_pdf"))

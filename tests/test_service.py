@@ -134,12 +134,48 @@ def test_jpeg_sizes_and_orientation():
 
 
 def test_pdf_pages_are_counted_in_streams_as_well():
-    packed = zlib.compress(b"<< /Type /Page >> << /Type /Page/Parent 1 0 R >> << /Type /Pages >>")
-    data = b"%PDF-1.5\n1 0 obj << /Type /Page >> endobj 5 0 obj << /Type /ObjStm /N 3 >>\nstream\r\n" + packed + b"\nendstream"
+    packed = zlib.compress(b"6 0 7 18 8 49 << /Type /Page >> << /Type /Page/Parent 1 0 R >> << /Type /Pages >>")
+    data = b"%PDF-1.5\n1 0 obj << /Type /Page >> endobj 5 0 obj << /Type /ObjStm /N 3 /First 16 >>\nstream\r\n" + packed + b"\nendstream"
     assert media.page_count(data) == 3
     assert media.page_count(b"x" * 1020 + b"%PDF-1.5") is None and media.page_count(None) is None and media.page_count(b"junk %PDF-1.4 /Type/Page") == 1
 
 
+def pdf(*objects, root=1):
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % o for o in objects) + (b"trailer << /Root %d 0 R >>\n" % root if root else b"")
+
+
+def test_pages_of_updated_packed_and_broken_files():
+    page, tree = b"<< /Type /Page /Parent 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>"
+    first = pdf((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, tree), (3, page))
+    assert media.page_count(first) == 1
+    assert media.page_count(first + pdf((3, page + b" % again"))[9:]) == 1  # an update of the page
+    assert media.page_count(first + pdf((2, tree.replace(b"Count 1", b"Count 2")), (4, page))[9:]) == 2  # one more page
+    inner = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, tree.replace(b"Count 1", b"Count 7")), (3, page)]
+    bodies, at, head = b"", [], b""
+    for number, body in inner:
+        head += b"%d %d " % (number, len(bodies))
+        bodies += body + b" "
+    stream = b"<< /Type /ObjStm /N 3 /First %d /Length 1 >>\nstream\n" % len(head) + zlib.compress(head + bodies) + b"\nendstream"
+    assert media.page_count(pdf((9, stream))) == 7
+    assert media.page_count(pdf((9, stream.replace(b"/First", b"/Fist")))) == 0  # nothing to follow, nothing to count
+    assert media.page_count(pdf((3, page), (4, page), (3, page), root=None)) == 2  # each number once
+    assert media.page_count(b"%PDF-1.4" + b" 1 0 obj" * 200_000) == 0
+
+
+def test_webp_and_tiff_headers():
+    riff = lambda kind, body: b"RIFF\0\0\0\0WEBP" + kind + b"\0\0\0\0" + body
+    lossy = riff(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 640 | 1 << 14, 480))
+    lossless = riff(b"VP8L", b"\x2f" + struct.pack("<I", 799 | 599 << 14) + b"\0" * 5)
+    canvas = riff(b"VP8X", b"\0\0\0\0" + (69_999).to_bytes(3, "little") + (11).to_bytes(3, "little"))
+    assert [media.image_header(x) for x in (lossy, lossless, canvas)] == [("webp", 640, 480, 1), ("webp", 800, 600, 1), ("webp", 70_000, 12, 1)]
+    for order, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        entries = [struct.pack(order + "HHIHH", 256, 3, 1, 321, 0), struct.pack(order + "HHII", 257, 4, 1, 70_001), struct.pack(order + "HHIHH", 274, 3, 1, 6, 0)]
+        data = mark + struct.pack(order + "I", 10) + b"xx" + struct.pack(order + "H", 3) + b"".join(entries)
+        assert media.image_header(data) == ("tiff", 321, 70_001, 1)
+        assert media.image_header(data[:20]) is None and media.image_header(data.replace(entries[1], entries[0])) is None
+    assert media.image_header(lossy[:25]) is None and media.image_header(riff(b"XXXX", b"")) is None
+
+
 def test_sizes_that_cannot_be_loaded_become_the_dummy(spark):
     df = spark.createDataFrame([(None, 3), (0, 5), (2010, 10), (2000, 10), (10, 10)], "w int, h int")
     got = [tuple(r.s) for r in df.select(media.loaded_size(F.col("w"), F.col("h"), doubled=True).alias("s")).collect()]
