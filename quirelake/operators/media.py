@@ -54,10 +54,11 @@ def page_count(data: bytes | None) -> int | None:
     if not data or b"%PDF-" not in data[:1024]:
         return None
     objects: dict[int, bytes | tuple[int, int]] = {}  # plain ones as their place, so that nothing is copied
-    for found in _OBJECT.finditer(data):
-        end = data.find(b"endobj", found.end())
-        place = found.end(), end if end >= 0 else len(data)
-        objects[int(found[1])] = place
+    starts = [(int(m[1]), m.start(), m.end()) for m in _OBJECT.finditer(data)]
+    for k, (number, _, start) in enumerate(starts):
+        behind = starts[k + 1][1] if k + 1 < len(starts) else len(data)  # an object ends where the next one begins, at the latest
+        end = data.find(b"endobj", start, behind)
+        place = objects[number] = start, end if end >= 0 else behind
         if _PACKED.search(data, place[0], min(place[1], place[0] + 1024)):
             objects |= _unpacked(data[place[0] : place[1]])
     body = lambda number: data[slice(*x)] if isinstance(x := objects.get(number, b""), tuple) else x
