@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.session import kept
+
 ACTIVE = ("queued", "processing", "extracting")
 # Status and code of each error; anything else is (400, INVALID_REQUEST).
 ERRORS = [
@@ -44,9 +46,20 @@ def safe_member(path: Column) -> Column:
 
 
 def within_budget(members: DataFrame, archive: str, order: str, size: str, most_bytes: int) -> DataFrame:
-    """Adds running (bytes so far in the archive) and fits."""
-    running = F.sum(size).over(Window.partitionBy(archive).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return members.withColumn("running", running).withColumn("fits", F.col("running") <= most_bytes)
+    """Adds running (bytes so far in the archive) and fits.
+
+    Members are range-sorted and summed up range by range; the totals of the ranges before are
+    added. So an archive of very many members is no single task's work.
+    """
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    # Written, so that every later step sees the same ranges.
+    placed = kept(members.repartitionByRange(archive, order).withColumn("_range", F.spark_partition_id()))
+    inside = placed.withColumn("_inside", F.sum(size).over(upto("_range", archive).orderBy(order)))
+    totals = placed.groupBy(F.col(archive).alias("_archive"), F.col("_range").alias("_own")).agg(F.coalesce(F.sum(size), F.lit(0)).alias("_total"))
+    before = totals.withColumn("_before", F.sum("_total").over(upto("_archive").orderBy("_own")) - F.col("_total"))  # a row for each range of an archive
+    met = inside.join(before, (F.col("_range") == F.col("_own")) & F.col(archive).eqNullSafe(F.col("_archive")))
+    running = F.col("_inside") + F.col("_before")
+    return met.select(*[F.col(c) for c in members.columns], running.alias("running"), (running <= most_bytes).alias("fits"))
 
 
 def manifest_measures(layers: DataFrame, base: DataFrame) -> DataFrame:

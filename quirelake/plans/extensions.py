@@ -162,10 +162,10 @@ with w as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z
 select doc_id, count(*) as n_words, max(length(word)) as longest, round(exp(avg(ln(length(word)))), 6) as typical from w group by doc_id
 """)
 def ext_python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table function and an aggregate function of one's own, on Arrow batches."""
+    """A table function and aggregate functions of one's own, on Arrow batches; the words are made once."""
     word = re.compile("[A-Za-z]+")
 
-    @F.udtf(returnType="word string, n int")
+    @F.udtf(returnType="word string, n int", useArrow=True)
     class Words:
         def eval(self, text: str) -> Iterator[tuple[str, int]]:
             for w in word.findall(text or ""):
@@ -175,10 +175,17 @@ def ext_python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def geometric_mean(n: pd.Series) -> float:
         return math.exp(sum(map(math.log, n)) / len(n))
 
+    @F.pandas_udf("long")
+    def many(n: pd.Series) -> int:
+        return len(n)
+
+    @F.pandas_udf("long")
+    def greatest(n: pd.Series) -> int:
+        return int(n.max())
+
     spark.udtf.register("quirelake_words", Words)
-    read(spark, sf_dir, "documents").createOrReplaceTempView("quirelake_documents")
-    words = spark.sql("select doc_id, word, n from quirelake_documents, lateral quirelake_words(text)")
-    return words.groupBy("doc_id").agg(F.round(geometric_mean("n"), 6).alias("typical")).join(words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max("n").cast("long").alias("longest")), "doc_id")
+    words = spark.sql("select doc_id, n from {docs}, lateral quirelake_words(text)", docs=read(spark, sf_dir, "documents"))
+    return words.groupBy("doc_id").agg(many("n").alias("n_words"), greatest("n").alias("longest"), F.round(geometric_mean("n"), 6).alias("typical"))
 
 
 @query("""

@@ -120,3 +120,14 @@ def test_single_task_markdown_holds_whole_texts(spark, tmp_path):
         text = pages[0] if len(pages) == 1 else "\n\n".join(f"## Page {k + 1}\n\n{p}" for k, p in enumerate(pages)).strip()
         want[i] = text + "\n" if text else ""
     assert {r.doc_id: r.markdown for r in registry.all_queries()["single_task_markdown"](spark, str(tmp_path)).collect()} == want
+
+
+def test_running_bytes_over_ranges(spark):
+    """One archive with most members, one without a name, ties by name and members without a size."""
+    rows = [("big", f"m{k:04d}", k % 7) for k in range(500)] + [(None, f"n{k}", 3) for k in range(20)] + [(f"a{k}", "x", k) for k in range(30)] + [("big", "z", None)]
+    got = jobs.within_budget(spark.createDataFrame(rows, "archive string, member string, size long").repartition(5), "archive", "member", "size", 700).collect()
+    want, sums = {}, {}
+    for archive, member, size in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        sums[archive] = sums.get(archive, 0) + (size or 0)
+        want[archive, member] = sums[archive], sums[archive] <= 700
+    assert {(r.archive, r.member): (r.running, r.fits) for r in got} == want and len(got) == len(rows)
