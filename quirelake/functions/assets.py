@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import secrets
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RETRYABLE = (429, 500, 502, 503, 504)
 
@@ -49,6 +53,29 @@ def inlined(markdown: Column, files: Column) -> Column:
     return F.array_join(F.transform(pieces, piece), "")
 
 
+def new_id() -> Column:
+    """A fresh random identifier for every row."""
+    return F.uuid()
+
+
+def short_id(size: int = 8) -> Column:
+    """The first hexadecimal digits of a fresh identifier, for names of files and runs."""
+    return F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(size))
+
+
+def session_token(row: Column, size: int = 32) -> Column:
+    """A token of ``size`` bytes from the system's secure source for every ``row`` (any column), fit for addresses and cookies.
+
+    Spark's own random functions follow from a seed, so they are not used for secrets.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def fresh(rows: pd.Series) -> pd.Series:
+        return pd.Series([secrets.token_urlsafe(size) for _ in range(len(rows))], dtype=object)
+
+    return fresh.asNondeterministic()(row)
+
+
 def is_request_id(value: Column) -> Column:
     return value.rlike(r"^[0-9a-f-]+\z")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import assets, geometry, text
 from quirelake.operators import blocks, connector, curation, jobs, layout, media, results, scheduling
 from quirelake.plans.parity import _BLOCKS, _STATUS, _X, _Y, _job_events, read
-from quirelake.session import shared_dir
+from quirelake.session import kept, shared_dir
 from quirelake.sources import files
 
 QUERIES = {}
@@ -458,3 +458,12 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = geometry.clamp_box(box, F.lit(1000), F.lit(10))
     told = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", again.alias("b"), F.round(text.retry_temperature(F.col("l_linenumber")), 9).alias("temperature"), text.backoff_seconds(0.5, F.col("l_linenumber")).alias("pause"))
     return told.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.x1", "b.x2", "temperature", "pause")
+
+
+@query("select doc_id, true as is_request_id, true as is_short, true as is_session_token, 3::bigint as n_own from documents")
+def fresh_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and tokens made for every document: their forms, and how many of the three no other document has."""
+    made = kept(read(spark, sf_dir, "documents").select("doc_id", assets.new_id().alias("id"), assets.short_id(12).alias("short"), assets.session_token(F.col("doc_id")).alias("token")))
+    told = made.select("doc_id", assets.is_request_id(F.col("id")).alias("is_request_id"), F.col("short").rlike("^[0-9a-f]{12}$").alias("is_short"), assets.is_session_token(F.col("token")).alias("is_session_token"), F.explode(F.array("id", "short", "token")).alias("value"))
+    alone = told.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return told.join(alone, "value").groupBy("doc_id", "is_request_id", "is_short", "is_session_token").agg(F.count(F.lit(1)).alias("n_own"))
