@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import geometry, text
 from quirelake.operators import blocks, curation, jobs, layout, retry, tables
-from quirelake.session import shared_dir
+from quirelake.session import kept_in_buckets, shared_dir
 from quirelake.sources import files
 from quirelake.streaming import batches, completion
 
@@ -264,10 +264,16 @@ with {_BLOCKS}
 select doc_id, count(*) as n_blocks, count(*) filter (block_idx % 4 <> 3) as n_read, sum(case when block_idx % 4 <> 3 then length(raw) else 0 end)::bigint as characters from blocks group by doc_id
 """)
 def recognition_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outputs joined back to their blocks; a quarter of them is missing and counts as empty."""
+    """Outputs of two rounds joined back to their blocks; a quarter of them is missing and counts as empty.
+
+    Blocks and answers lie in the same buckets, so each round joins without a shuffle.
+    """
+    place = ["doc_id", "block_idx"]
     own = blocks.blocks_of(read(spark, sf_dir, "documents"))
-    outputs = own.where("block_idx % 4 <> 3").select("doc_id", "block_idx", "raw")
-    got = blocks.merged(own.drop("raw"), outputs, ["doc_id", "block_idx"])
+    kept = lambda df: kept_in_buckets(df, place, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = kept(own.drop("raw"))
+    first, again = (kept(own.where(f"block_idx % 4 = {k}" if k else "block_idx % 4 in (0, 2)").select(*place, "raw")) for k in (0, 1))
+    got = blocks.merged(asked, first, place).join(again.withColumnRenamed("raw", "later"), place, "left").withColumn("raw", F.coalesce("later", "raw"))
     return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("block_idx") % 4 != 3).alias("n_read"), F.sum(F.length("raw")).cast("long").alias("characters"))
 
 

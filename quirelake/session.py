@@ -59,3 +59,17 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_in_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """The same, dealt into ``buckets`` by ``keys`` and sorted: frames kept with equal keys and buckets join by them without a shuffle.
+
+    One file per bucket. The table's name leaves the catalog at once; only its files stay.
+    """
+    spark, name = df.sparkSession, f"quirelake_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved here, while the name is known
+    spark.sql(f"drop table {name}")
+    return found
