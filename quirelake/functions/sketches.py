@@ -47,9 +47,26 @@ def merged(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def answers(held: DataFrame, shares: list[float], most: int) -> DataFrame:
-    """``held`` with distinct, quantiles (one per share) and hitters (item, count; the ``most`` most frequent) read from its states."""
+    """``held`` with distinct, quantiles (one per share) and hitters read from its states.
+
+    hitters (item, count) are the ``most`` most frequent of those that certainly exceed the error of
+    their counts; every item with more than ``hitter_error`` rows does. Where all are rare there is none.
+    """
     return held.withColumns({
         "distinct": F.hll_sketch_estimate("distinct"),
         "quantiles": F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(s)) for s in shares]),
         "hitters": F.expr(f"approx_top_k_estimate(hitters, {most})"),
     })
+
+
+def hitters_hold(held: DataFrame, exact: DataFrame, by: str, most: int) -> DataFrame:
+    """by, hitters_hold: whether the hitters of ``held`` (by, n, hitters) keep their bounds against exact figures (by, item, k).
+
+    Every reported count is off by less than ``hitter_error``, and an item that is not reported has
+    no more rows than that, or than the least of ``most`` reported ones allows.
+    """
+    told = held.select(by, F.inline("hitters")).select(F.col(by).alias("_by"), F.col("item").alias("_item"), F.col("count").alias("told"))
+    least = held.select(by, hitter_error(F.col("n")).alias("error"), F.when(F.size("hitters") >= most, F.array_min(F.transform("hitters", lambda h: h["count"]))).otherwise(0).alias("least"))
+    both = exact.join(F.broadcast(told), F.col(by).eqNullSafe(F.col("_by")) & F.col("item").eqNullSafe(F.col("_item")), "left").join(F.broadcast(least.withColumnRenamed(by, "_of")), F.col(by).eqNullSafe(F.col("_of")))
+    right = F.when(F.col("told").isNull(), F.col("k") <= F.col("least") + F.col("error")).otherwise(F.abs(F.col("told") - F.col("k")) <= F.col("error"))
+    return both.groupBy(by).agg(F.every(right).alias("hitters_hold"))
