@@ -109,6 +109,29 @@ def test_admission_matches_a_plain_restatement(spark):
     assert got == want and not all(want.values())
 
 
+@pytest.mark.parametrize("span", [40, 100_000])
+def test_admission_over_many_ranges(spark, monkeypatch, span):
+    """Queues cut into ranges, with ties, nulls, NaN and ends that stay open over several ranges."""
+    monkeypatch.setattr(scheduling, "RANGE", 32)
+    rnd, nan = random.Random(8), float("nan")
+    rows = [(q, k, rnd.choice([None, nan, *[float(rnd.randint(0, span)) for _ in range(40)]]), None) for q in ("a", "b", None, *"cdefgh") for k in range(200 if q in ("a", None) else 9)]
+    rows = [(q, k, b, rnd.choice([None, nan if k % 50 == 9 else None, *[(b or 0.0) + rnd.choice([0, 1, span / 9, span / 60]) for _ in range(9)]])) for q, k, b, _ in rows]
+    later = lambda x, b: None not in (x, b) and (x > b or (x != x and b == b))
+    up = lambda v: (v is not None, v != v, 0 if v is None or v != v else v)
+    want = {}
+    for q in {r[0] for r in rows}:
+        ends = []
+        for _, k, b, e in sorted((r for r in rows if r[0] == q), key=lambda r: (up(r[2]), r[1])):
+            ends = [x for x in ends if later(x, b)]
+            want[q, k] = len(ends) < 3
+            ends += [e] * want[q, k]
+    frame = spark.createDataFrame(rows, "queue string, id int, begins double, ends double").repartition(3)
+    found = scheduling.admitted(frame, "queue", 3)
+    assert found.columns == ["queue", "id", "begins", "ends", "accepted"] and {(r.queue, r.id): r.accepted for r in found.collect()} == want and not all(want.values())
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert scheduling.admitted(frame.limit(0), "queue", 3).count() == 0
+
+
 def test_micro_batches_match_a_plain_restatement(spark):
     rnd = random.Random(7)
     rows = [(q, k, rnd.random() * 30) for q in (1, 2) for k in range(60)]
