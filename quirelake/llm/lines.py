@@ -7,10 +7,12 @@ run whose line sequence starts earlier as well: in a smaller document, or higher
 Only lines that occur twice take part; any other line ends every repeat. Suffixes are ranked by
 prefix doubling: the rank over 2h lines is the dense rank of the pair of ranks over h lines here
 and h lines on, found by a range-partitioned sort of the distinct pairs. A run has at most
-``least_words`` lines, so that depth is enough. Suffixes that share a run form an interval of the
-suffix array with that common prefix; two overlapping ranks name it, and all but its earliest
-suffix are later copies. Ranks stem from one hash of every line; a second, independent one of all
-lines of a run must agree as well, so that unlike lines under one hash are no copies.
+``least_words`` lines, so that depth is enough. Sorted by rank the suffixes are the suffix array;
+neighbours are compared line by line for the array of common prefixes, and suffixes that share a
+run of k lines form an interval without a common prefix below k inside. All but the earliest
+suffix of an interval are later copies. Ranks stem from one hash of every line; a second,
+independent one of all lines of a run must agree as well, so that unlike lines under one hash are
+no copies.
 
 Cases: null and empty texts have no line and stay as they are; equal ids are told apart by their
 texts and places, and repeated rows are treated alike (neither is earlier); a null id counts as
@@ -20,6 +22,7 @@ result; other columns pass through untouched.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ from quirelake.llm.common import boxed, materialize
 
 LEAST_WORDS = 8
 _WORD = r"[^\x20\x09-\x0D]+"
+#: Stands for a line behind the end of a stretch, and for no rank.
+NONE = -(2**63)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,6 +70,52 @@ def dense_ranks(pairs: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("one", "two", (F.col("before") + F.col("place")).alias("rank"))
 
 
+def common_prefix(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many first entries two rows share, for each pair of rows."""
+    return np.logical_and.accumulate(one == two, axis=1).sum(axis=1)
+
+
+def common_intervals(suffixes: DataFrame, most: int) -> DataFrame:
+    """rank, heads: for k = 1 to ``most`` the rank at which the interval of the suffix array begins whose suffixes share k lines.
+
+    ``suffixes`` (rank, ids: the first ``most`` lines) are put in order, which is the suffix array, and
+    neighbours compared, which gives the array of common prefixes. An interval for k begins where fewer
+    than k lines are shared with the suffix before. Every range is read by itself; where one begins is
+    settled by its neighbour's last suffix.
+    """
+
+    def neighbours(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, last, heads = TaskContext.get().partitionId(), None, np.full((1, most), NONE)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranks = batch.column("rank").to_numpy()
+            ids = batch.column("ids").flatten().to_numpy().reshape(-1, most)
+            shared = common_prefix(ids, np.concatenate([ids[:1] if last is None else last, ids[:-1]]))
+            begins = np.where(shared[:, None] < np.arange(1, most + 1), ranks[:, None], NONE)
+            heads = np.maximum.accumulate(np.concatenate([heads[-1:], begins]), axis=0)[1:]
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * most, pa.int32()), pa.array(x.ravel()))
+            # Common prefixes are known by now; lines are kept for the borders of ranges alone.
+            yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array([part] * len(ranks), pa.int32()), listed(heads), pa.array([ids[0] if k == 0 and last is None else None for k in range(len(ranks))], pa.list_(pa.int64())), pa.array([ids[-1] if k == len(ranks) - 1 else None for k in range(len(ranks))], pa.list_(pa.int64()))], ["rank", "part", "heads", "first", "last"])
+            last = ids[-1:]
+
+    ordered = suffixes.repartitionByRange("rank").sortWithinPartitions("rank")
+    placed = materialize(ordered.mapInArrow(neighbours, "rank long, part int, heads array<long>, first array<long>, last array<long>"), "suffix-array")
+    # One row per range partition; its last rank is greatest, and batches before it end with smaller ones.
+    ends = placed.where("first is not null or last is not null").groupBy("part").agg(F.min("rank").alias("rank"), F.min_by("first", "rank").alias("first"), F.max_by("last", "rank").alias("last"), F.max_by("heads", "rank").alias("heads")).orderBy("part").collect()
+    before, open_, begun = None, [NONE] * most, []
+    for r in ends:
+        shared = 0 if before is None else int(common_prefix(np.array([before]), np.array([r["first"]]))[0])
+        open_ = [r["rank"] if shared < k else head for k, head in enumerate(open_, 1)]
+        begun.append((r["part"], open_))
+        before, open_ = r["last"], [own if own != NONE else head for own, head in zip(r["heads"], open_, strict=True)]
+    starts = suffixes.sparkSession.createDataFrame(begun, "part int, begun array<long>")
+    return placed.join(F.broadcast(starts), "part").select("rank", F.zip_with("heads", "begun", lambda own, head: F.when(own == NONE, head).otherwise(own)).alias("heads"))
+
+
 def repeated(rows: DataFrame) -> DataFrame:
     """Those lines whose id occurs twice or more.
 
@@ -98,26 +149,22 @@ def later_copies(rows: DataFrame, least_words: int) -> DataFrame:
     following = F.array(F.col("line"), *[ahead("line", k) for k in range(1, least_words)])
     seconds = F.array(F.col("second"), *[ahead("second", k) for k in range(1, least_words)])
     short = lambda c: F.when(F.col("n").isNotNull(), F.slice(c, 1, F.col("n")))
-    now = live.withColumns({"n": need, "following": following, "seconds": seconds}).select("row_key", "doc", "at", "n", short("following").alias("lines"), F.xxhash64(short("seconds")).alias("second"), F.col("id").alias("rank_1"))
+    now = live.withColumns({"n": need, "following": following, "seconds": seconds}).select("row_key", "doc", "at", "n", short("following").alias("lines"), F.xxhash64(short("seconds")).alias("second"), "id", F.col("id").alias("rank"))
     now = materialize(now, "rank-1")
     depth = 1
     while depth < least_words:
-        column = f"rank_{depth}"
-        paired = now.withColumn("one", F.col(column)).withColumn("two", F.coalesce(ahead(column, depth), F.lit(-(2**63))))
+        paired = now.withColumnRenamed("rank", "one").withColumn("two", F.coalesce(ahead("one", depth), F.lit(NONE)))
         ranks = dense_ranks(paired.select("one", "two"))
-        now = materialize(paired.join(ranks.hint("merge"), ["one", "two"]).drop("one", "two").withColumnRenamed("rank", f"rank_{2 * depth}"), f"rank-{2 * depth}")
+        now = materialize(paired.join(ranks.hint("merge"), ["one", "two"]).drop("one", "two"), f"rank-{2 * depth}")
         depth *= 2
-    # The longest power of two within the run, at its start and so that it ends with the run.
-    first, last = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for lines in range(1, least_words + 1):
-        h = 1 << (lines.bit_length() - 1)
-        here = F.col("n") == lines
-        first = F.when(here, F.col(f"rank_{h}")).otherwise(first)
-        last = F.when(here, F.col(f"rank_{h}") if lines == h else F.lead(f"rank_{h}", lines - h).over(own)).otherwise(last)
-    runs = materialize(now.withColumns({"first": first, "last": last}).where("n is not null").select("row_key", "doc", "at", "n", "lines", "first", "last", "second"), "runs")
+    ids = F.array(F.col("id"), *[F.coalesce(ahead("id", k), F.lit(NONE)) for k in range(1, least_words)])
+    # Suffixes of one rank have the same lines, so one of them stands for all in the array.
+    suffixes = now.select("rank", ids.alias("ids")).groupBy("rank").agg(F.min("ids").alias("ids"))
+    heads = common_intervals(suffixes, least_words)
+    runs = materialize(now.where("n is not null").join(heads.hint("merge"), "rank").select("row_key", "doc", "at", "n", "lines", F.element_at("heads", F.col("n")).alias("head"), "second"), "runs")
     # Written first, so that the join has nothing but sorts in its stage and can be split where a run is very common.
-    earliest = runs.groupBy("n", "first", "last", "second").agg(F.min(F.struct("doc", "at")).alias("earliest"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    found = runs.join(materialize(earliest, "earliest").hint("merge"), ["n", "first", "last", "second"]).where(F.struct("doc", "at") > F.col("earliest"))
+    earliest = runs.groupBy("n", "head", "second").agg(F.min(F.struct("doc", "at")).alias("earliest"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    found = runs.join(materialize(earliest, "earliest").hint("merge"), ["n", "head", "second"]).where(F.struct("doc", "at") > F.col("earliest"))
     return materialize(found.select("row_key", "lines"), "later-copies")
 
 

@@ -334,6 +334,22 @@ def test_components_of_chains(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 150: 100, 200: 100}
 
 
+def test_intervals_of_the_suffix_array(spark):
+    """Intervals with common prefixes of 1 to 3 lines, in ranges whose borders fall inside of them."""
+    rows = sorted({(a, b, c) for a in (-7, 2, 9) for b in range(-3, 9) for c in range(-2, 20) if (a * 5 + b * 3 + c) % 4})
+    want = {10 * r: [10 * next(q for q in range(len(rows)) if rows[q][:k] == ids[:k]) for k in (1, 2, 3)] for r, ids in enumerate(rows)}
+    frame = spark.createDataFrame([(10 * r, list(ids)) for r, ids in enumerate(rows)], "rank long, ids array<long>").repartition(3)
+    sizes = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        assert {r["rank"]: r.heads for r in lines.common_intervals(frame, 3).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", sizes[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", sizes[1])
+    assert lines.common_intervals(frame.limit(0), 3).count() == 0
+
+
 def test_line_removal(spark, odd_docs, no_docs, texts):
     def full(t):
         return [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
