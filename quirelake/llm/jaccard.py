@@ -130,12 +130,15 @@ class Tree:
 
     def __init__(self, members: list[int], sets: list[np.ndarray], width: int):
         self.members = sorted(members, key=lambda k: sets[k][:3].tolist())  # least hashes first: similar sets are neighbours
-        bits = np.zeros((len(members), width), np.uint8)
-        for row, k in enumerate(self.members):
-            bits[row, sets[k] & np.uint64(width - 1)] = 1
-        packed = np.packbits(bits, axis=1).view(np.uint64)
+        packed, bits = np.empty((len(members), width // 8), np.uint8), np.zeros(width, np.uint8)
+        for row, k in enumerate(self.members):  # one set at a time is spread out to a byte per bit
+            own = sets[k] & np.uint64(width - 1)
+            bits[own] = 1
+            packed[row] = np.packbits(bits)
+            bits[own] = 0
+        packed = packed.view(np.uint64)
         size = np.array([len(sets[k]) for k in self.members])
-        self.bits, self.least, self.most, self.excess = [packed], [size], [size], [size - bits.sum(axis=1, dtype=np.int64)]
+        self.bits, self.least, self.most, self.excess = [packed], [size], [size], [size - np.bitwise_count(packed).sum(axis=1, dtype=np.int64)]
         while len(self.bits[-1]) > 1:
             first = np.arange(0, len(self.bits[-1]), FANOUT)
             self.bits.append(np.bitwise_or.reduceat(self.bits[-1], first, axis=0))

@@ -334,6 +334,22 @@ def test_components_of_chains(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 150: 100, 200: 100}
 
 
+def test_a_tree_holds_its_bitmaps_packed():
+    """Sets of a wide bitmap are not spread out to a byte per bit all at once."""
+    import tracemalloc
+
+    rnd, width = np.random.default_rng(3), 1 << 16
+    sets = [np.unique(rnd.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(200)]
+    tracemalloc.start()
+    tree = jaccard.Tree(list(range(200)), sets, width)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 * width / 3
+    for row, k in enumerate(tree.members):
+        places = {int(x) % width for x in sets[k]}
+        assert set(np.flatnonzero(np.unpackbits(tree.bits[0][row].view(np.uint8))).tolist()) == places and tree.excess[0][row] == len(sets[k]) - len(places)
+
+
 def test_intervals_of_the_suffix_array(spark):
     """Intervals with common prefixes of 1 to 3 lines, in ranges whose borders fall inside of them."""
     rows = sorted({(a, b, c) for a in (-7, 2, 9) for b in range(-3, 9) for c in range(-2, 20) if (a * 5 + b * 3 + c) % 4})
